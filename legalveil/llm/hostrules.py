@@ -23,6 +23,18 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def window_hashes(d: DataFrame, window: int) -> DataFrame:
+    """Replaces the word hashes in __lv_h by hashes of the windows that start at each word, by
+    doubling: windows of 1, 2, 4, ... words, and for other widths of two that overlap."""
+    width = 1
+    while width < window:
+        step = min(width, window - width)
+        m = F.greatest(F.size("__lv_h") - step, F.lit(0))
+        d = d.withColumn("__lv_h", F.transform(F.slice("__lv_h", 1, m), lambda x, i: F.xxhash64(x, F.get("__lv_h", i + step))))
+        width += step
+    return d
+
+
 def base_rules(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to docs.
 
@@ -34,13 +46,12 @@ def base_rules(docs: DataFrame, text_col: str = "text", window: int = WINDOW) ->
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.withColumn("__lv_l", F.when(text.contains("\n"), lines).otherwise(F.array().cast("array<string>")))
     n = F.size("__lv_w")
-    windows = F.when(n > window, F.transform(F.sequence(F.lit(1), n - (window - 1)), lambda i: F.xxhash64(F.slice("__lv_w", i, window)))).otherwise(F.array().cast("array<bigint>"))
-    d = d.withColumn("__lv_h", windows)
-    pairs = F.array_sort(F.transform(F.col("__lv_h"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    d = window_hashes(d.withColumn("__lv_h", F.transform("__lv_w", lambda x: F.xxhash64(x))), window)
+    pairs = F.sort_array(F.transform(F.col("__lv_h"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     d = d.withColumn("__lv_s", F.when(F.size(F.array_distinct("__lv_h")) < F.size("__lv_h"), pairs))
     s = F.col("__lv_s")
     twice = F.filter(s, lambda x, k: F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False)))
-    d = d.withColumn("__lv_p", F.when(s.isNotNull(), F.array_sort(F.transform(twice, lambda x: x["i"]))))
+    d = d.withColumn("__lv_p", F.when(s.isNotNull(), F.sort_array(F.transform(twice, lambda x: x["i"]))))
     covered = F.aggregate("__lv_p", F.struct(F.lit(0).alias("n"), F.lit(-window).alias("at")), lambda a, p: F.struct((a["n"] + F.least(p - a["at"], F.lit(window))).alias("n"), p.alias("at")), lambda a: a["n"])
     d = d.withColumn("n_words", n.cast("long"))
     d = d.withColumn("word_chars", F.length(F.array_join("__lv_w", "")).cast("long"))

@@ -8,15 +8,16 @@ texts that lack every anchor word cannot reach it for any template and are not c
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
 
-LEAST_DICE = 0.8
+LEAST_DICE = 0.85
 
 # Names and usual wording of public licence notices.
 TEMPLATES = {
@@ -41,7 +42,7 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 #: Words too usual to be anchors while others will do.
-USUAL = frozenset("a an and any as at be by for in is it of on or that the this to under with you your from file work copy software".split())
+USUAL = frozenset("above also and any copy file from have notice other that the this under use with work you your".split())
 
 
 def _words(text: str) -> list[str]:
@@ -54,19 +55,19 @@ def _bigrams(text: str) -> list[str]:
 
 
 def anchors(templates: dict[str, str], least: float) -> list[str]:
-    """Words of which every unit that reaches ``least`` with any template has one.
+    """Strings of which every unit that reaches ``least`` with any template holds one.
 
     Such a unit shares at least b * least / (2 - least) of a template's b bigrams; once the bigrams
-    with an anchor in them number more than the rest allowed to be missing, one must be shared."""
-    chosen: set[str] = set()
-    spread = Counter(w for t in templates.values() for w in set(_words(t)))
-    for t in templates.values():
-        grams = _bigrams(t)
-        missing = len(grams) - -(-len(grams) * least // (2 - least))
-        left = sorted(set(_words(t)) - chosen, key=lambda w: (w in USUAL, len(w) < 4, -spread[w], w))
-        while sum(any(w in chosen for w in g.split()) for g in grams) <= missing:
-            chosen.add(left.pop(0))
-    return sorted(chosen)
+    with an anchor in them number more than those that may be missing, one must be shared. Chosen
+    greedily: whole words or their first six letters, long ones first, by how many templates they help."""
+    needs = {k: (g, len(g) - math.ceil(len(g) * least / (2 - least) - 1e-9)) for k, t in templates.items() if (g := _bigrams(t))}
+    words = {w for t in templates.values() for w in _words(t)}
+    chosen: list[str] = []
+    helps = lambda x, g: any(x in w for w in g.split())
+    while open_ := {k: [x for x in g if not any(helps(c, x) for c in chosen)] for k, (g, missing) in needs.items() if sum(any(helps(c, x) for c in chosen) for x in g) <= missing}:
+        gain = {x: sum(helps(x, y) for g in open_.values() for y in g) for x in words | {w[:6] for w in words}}
+        chosen.append(max(sorted(x for x in gain if gain[x]), key=lambda x: (len(x) >= 4 and x not in USUAL, gain[x], -len(x))))
+    return chosen
 
 
 def word_bigrams(text: Column) -> Column:
@@ -92,12 +93,14 @@ def scan_licences(docs: DataFrame, *, id_col="doc_id", text_col="text", template
     if not any(map(_bigrams, templates.values())):
         raise ValueError("no template has a word bigram")
     spark = docs.sparkSession
-    anchored = "|".join(anchors(templates, least))
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.lower("text").rlike(anchored))
+    found = anchors(templates, least)
+    # lower() is bound once: within an OR it would be run for each anchor
+    anchored = lambda c: F.exists(F.array(F.lower(c)), lambda low: reduce(lambda a, b: a | b, (low.contains(x) for x in found)))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(anchored("text"))
     paragraphs = F.split("text", r"\n[\x20\x09-\x0D]*\n")
     units = F.array_distinct(F.concat(F.array("text"), paragraphs, F.split("text", "\n")))
     u = d.select("doc_id", "text", F.explode(units).alias("unit"))
-    u = u.select("doc_id", (F.col("unit") == F.col("text")).alias("whole"), "unit").filter(F.lower("unit").rlike(anchored))
+    u = u.select("doc_id", (F.col("unit") == F.col("text")).alias("whole"), "unit").filter(anchored("unit"))
     t = template_table(spark, templates, least)
     sizes = t.select(F.explode(F.sequence(F.ceil("least").cast("int"), F.floor("most").cast("int"))).alias("n"), "licence", "grams", "n_template")
     longest = max((len(_bigrams(x)) for x in templates.values()), default=0) * (2 - least) / least

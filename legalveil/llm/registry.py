@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import hostrules, licences, mixing
+from . import hostrules, language, licences, mixing, quality, toxicity
 
 QUERIES = {
     "op2_licence_scan": licences.op2_licence_scan,
+    "op4_quality": quality.op4_quality,
+    "op5_language": language.op5_language,
     "op6_host_rules": hostrules.op6_host_rules,
     "op7_mix": mixing.op7_mix,
+    "op8_toxicity": toxicity.op8_toxicity,
 }
 
 ORACLE_SQL = {
