@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hostrules, language, licences, mixing, quality, toxicity
+from . import hostrules, language, licences, mixing, nearest, quality, repeats, toxicity
 
 QUERIES = {
     "op2_licence_scan": licences.op2_licence_scan,
@@ -11,6 +11,8 @@ QUERIES = {
     "op6_host_rules": hostrules.op6_host_rules,
     "op7_mix": mixing.op7_mix,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_nearest": nearest.op9_nearest,
+    "op10_suffix_dedup": repeats.op10_suffix_dedup,
 }
 
 ORACLE_SQL = {
