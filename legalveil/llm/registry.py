@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import hostrules, language, licences, mixing, nearest, quality, repeats, toxicity
+from . import hostrules, language, licences, mixing, nearest, ngramjoin, quality, repeats, toxicity
 
 QUERIES = {
+    "op1_ngram_join": ngramjoin.op1_ngram_join,
     "op2_licence_scan": licences.op2_licence_scan,
     "op4_quality": quality.op4_quality,
     "op5_language": language.op5_language,

@@ -28,11 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import read, written
+from .common import among, read, written
 from .textbytes import U, prefix_hash, span_hash, text_chunks
 
 LEAST = 200
-BITMAP = 24  # log2 of the bits that tell which texts have a repeat at all
 RUN = np.dtype([("h", "<u8"), ("u", "<u8"), ("k", "<i8"), ("p", "<u4"), ("n", "<u2"), ("f", "u1")])
 MARK = np.dtype([("k", "<i8"), ("p", "<u4"), ("n", "<u2")])
 POINT = np.dtype([("h", "<u8"), ("k", "<i8"), ("p", "<u4"), ("f", "u1")])
@@ -245,16 +244,6 @@ def settle_points(points: DataFrame, count: int) -> DataFrame:
     return blobs.by_bucket(points, work, blobs.ROWS, POINT, MARK)
 
 
-def among(docs: DataFrame, keyed: DataFrame, bits: int = BITMAP) -> DataFrame:
-    """docs with ``maybe``: whether k may be in keyed. The bitmap has 2 ** bits bits, whatever the
-    input, so it may be broadcast; texts without a repeat then need no shuffle."""
-    word = lambda c: F.pmod(F.shiftrightunsigned(c, 6), F.lit(1 << (bits - 6)))
-    bit = lambda c: F.expr(f"shiftleft(1L, cast({c} & 63 as int))")
-    table = keyed.groupBy(word(F.col("k")).alias("__lv_word")).agg(F.bit_or(bit("k")).alias("__lv_bits"))
-    d = docs.withColumn("__lv_word", word(F.col("k"))).join(F.broadcast(table), "__lv_word", "left")
-    return d.withColumn("maybe", F.coalesce(F.col("__lv_bits").bitwiseAND(bit("k")) != 0, F.lit(False))).drop("__lv_word", "__lv_bits")
-
-
 def repeat_marks(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(k, packed): the start positions of repeated strings of each text that has any, from docs
     (k, text). k names a text; equal texts under one k are repeats of each other."""
