@@ -18,8 +18,9 @@ ROWS = "bucket int, records binary, marks binary"
 
 
 def buckets(df: DataFrame) -> int:
-    """Buckets in proportion to the shuffle's partitions, which grow with the input."""
-    return 4 * partitions(df.sparkSession)
+    """One bucket for each of the shuffle's partitions, which grow with the input; more would only
+    multiply the rows, one for each task and bucket."""
+    return partitions(df.sparkSession)
 
 
 def dealt(records: np.ndarray, by: np.ndarray, n: int, marks: np.ndarray | None = None, marks_by: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
