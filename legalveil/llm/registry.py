@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import hostrules, language, licences, mixing, nearest, ngramjoin, quality, repeats, toxicity
+from . import hostrules, language, licences, mixing, nearest, ngramjoin, pieces, quality, repeats, toxicity
 
 QUERIES = {
     "op1_ngram_join": ngramjoin.op1_ngram_join,
     "op2_licence_scan": licences.op2_licence_scan,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_quality": quality.op4_quality,
     "op5_language": language.op5_language,
     "op6_host_rules": hostrules.op6_host_rules,
