@@ -32,7 +32,7 @@ from .textbytes import U, mixed, prefix_hash, span_hash, text_chunks
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 HOT = 1 << 22
 LONGEST = 40
-GATHER = 400_000  # distinct units that a task gathers before it hands them on
+GATHER = 100_000  # distinct units that a task gathers before it hands them on
 SPACE = "▁"
 FIRST = U(0x5BD1E995)  # marks a text's first unit, which gets the dummy prefix
 
@@ -222,23 +222,24 @@ def vocabulary(docs: DataFrame, model) -> DataFrame:
             yield from out()
 
     rows = docs.mapInArrow(count, "key long, unit string, n long")
-    return rows.groupBy("key").agg(F.min("unit").alias("unit"), F.sum("n").alias("n"))
+    return rows.groupBy("key", "unit").agg(F.sum("n").alias("n"))
 
 
 def lattice_cuts(units: DataFrame, model: Model) -> DataFrame:
     """(key, n, cuts): for each unit (key, unit, n) a bit for each place between symbols, set where
-    a piece ends. Explode, equi-join, group, fold; the units stay in the partitions of their key."""
+    a piece ends. Explode, equi-join, group, fold; the units stay in the partitions of their key.
+    The empty piece stands for each unit itself, so one without an edge is not lost."""
     spark = units.sparkSession
-    rows = [(p, -model.scores[i]) for p, i in model.ids.items()]
+    rows = [("", 0.0), *((p, -model.scores[i]) for p, i in model.ids.items())]
     table = F.broadcast(spark.createDataFrame(pa.table({"piece": [r[0] for r in rows], "cost": [r[1] for r in rows]}).to_pandas()))  # the piece table
     least = 2 if model.bpe else 1
     size = F.length("unit")
     spans = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.when(size - i + 1 >= least, F.transform(F.sequence(F.lit(least), F.least(F.lit(model.longest), F.greatest(size - i + 1, F.lit(least)))), lambda k: F.struct(i.alias("i"), k.alias("k")))).otherwise(F.array().cast("array<struct<i:int,k:int>>"))))
-    e = units.select("key", "unit", "n", F.explode_outer(spans).alias("s"))
-    e = e.select("key", "n", F.length("unit").alias("size"), F.col("s.i").alias("i"), F.col("s.k").alias("k"), F.substring("unit", F.col("s.i"), F.col("s.k")).alias("piece"))
-    e = e.join(table, "piece", "left")
-    edge = F.when(F.col("cost").isNotNull(), F.struct("cost", "i", "k"))
-    g = e.groupBy("key").agg(F.min("n").alias("n"), F.min("size").alias("size"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    spans = F.concat(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("k"))), spans)
+    e = units.select("key", "unit", "n", F.explode(spans).alias("s"))
+    e = e.select("key", "unit", "n", F.col("s.i").alias("i"), F.col("s.k").alias("k"), F.substring("unit", F.col("s.i"), F.col("s.k")).alias("piece"))
+    e = e.join(table, "piece").select("key", "unit", "n", F.when(F.col("k") > 0, F.struct("cost", "i", "k")).alias("edge"))
+    g = e.groupBy("key", "unit", "n").agg(F.sort_array(F.collect_list("edge")).alias("edges")).select("key", "n", F.length("unit").alias("size"), "edges")
     if model.bpe:
         # boundaries as bits: the edge from i of k symbols spans bits i-1 .. i-1+k
         g = g.withColumn("edges", F.expr("transform(edges, x -> struct(shiftleft(1L, x.i - 1) | shiftleft(1L, x.i - 1 + x.k) as ends, shiftleft(shiftleft(1L, x.k - 1) - 1L, x.i) as mid))"))
