@@ -95,6 +95,12 @@ def _spans(df: DataFrame, spans, *more) -> DataFrame:
     return df.select("doc_id", F.explode(spans).alias("s")).select("doc_id", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.text").alias("span_text"), *[F.col(f"s.{m}").alias(m) for m in more])
 
 
+def _people(v: DataFrame) -> DataFrame:
+    """v with seeds and people, each computed once."""
+    v = v.withColumn("seeds", detect.seeds(F.col("text"), Config(), LEX))
+    return v.withColumn("people", people.merged(F.col("seeds")))
+
+
 def _at(value: str, **more: str) -> str:
     """SQL of one span per document: where ``value`` first stands in the text."""
     extra = "".join(f", '{v}' AS {k}" for k, v in more.items())
@@ -214,21 +220,21 @@ def first_name_scan(spark, sf_dir):
 
 @query(VIEW + "SELECT doc_id, given || ' ' || surname AS display, 'Ricorrente' AS role FROM v UNION ALL SELECT doc_id, counsel, 'Difensore' FROM v")
 def people_merged(spark, sf_dir):
-    p = people.merged(detect.seeds(F.col("text"), Config(), LEX))
-    return legal_view(spark, sf_dir).select("doc_id", F.explode(p).alias("p")).select("doc_id", F.col("p.display").alias("display"), F.col("p.role").alias("role"))
+    return _people(_fast(legal_view(spark, sf_dir))).select("doc_id", F.explode("people").alias("p")).select("doc_id", F.col("p.display").alias("display"), F.col("p.role").alias("role"))
 
 
 @query(VIEW + "SELECT doc_id, given || ' ' || surname AS display, given || ' ' || surname || '+' || surname AS variants FROM v")
 def people_folded(spark, sf_dir):
     v = legal_view(spark, sf_dir).select("doc_id", F.concat(F.lit("Si costituisce il sig. "), "given", F.lit(" "), "surname", F.lit(". Il sig. "), "surname", F.lit(" insiste.")).alias("text"))
-    v = v.withColumn("p", people.with_parent(people.merged(detect.seeds(F.col("text"), Config(), LEX)))).withColumn("p", people.folded(F.col("p")))
+    v = _people(v).withColumn("p", people.with_parent(F.col("people"))).withColumn("p", people.folded(F.col("p")))
     return v.select("doc_id", F.explode("p").alias("p")).select("doc_id", F.col("p.display").alias("display"), F.array_join("p.variants", "+").alias("variants"))
 
 
 @query(VIEW + "SELECT doc_id, array_to_string(list_sort(string_split(lower(counsel), ' ')), ' ') AS conflict FROM v")
 def judge_conflicts(spark, sf_dir):
     v = legal_view(spark, sf_dir).select("doc_id", F.concat(F.lit("Presidente: "), "counsel", F.lit("\nIl ricorrente "), "counsel", F.lit(" insiste.")).alias("text"))
-    c = people.conflicts(people.merged(detect.seeds(F.col("text"), Config(), LEX)), people.judge_keys(detect.protections(F.col("text"))))
+    v = _people(v).withColumn("judges", people.judge_keys(detect.protections(F.col("text"))))
+    c = people.conflicts(F.col("people"), F.col("judges"))
     return v.select("doc_id", F.explode(c).alias("conflict"))
 
 
@@ -248,8 +254,8 @@ def propagate_names(spark, sf_dir):
 @query(VIEW + "SELECT doc_id, lower(surname) AS token FROM v")
 def ambiguous_aliases(spark, sf_dir):
     v = legal_view(spark, sf_dir).select("doc_id", F.concat(F.lit("Il sig. Mario "), "surname", F.lit(" e la sig.ra Anna "), "surname", F.lit(" ricorrono.")).alias("text"))
-    t = people.ambiguous_tokens(people.merged(detect.seeds(F.col("text"), Config(), LEX)), LEX, 4)
-    return v.select("doc_id", F.explode(t).alias("token"))
+    t = people.ambiguous_tokens(F.col("people"), LEX, 4)
+    return _people(v).select("doc_id", F.explode(t).alias("token"))
 
 
 @query(VIEW + "SELECT doc_id, 'A.G.' AS value, 'Ricorrente' AS role, CAST(2 AS INTEGER) AS n FROM v")
