@@ -9,12 +9,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad\ue000\ue001"
 TAGS = "a abbr article aside b blockquote body br code dd div dl dt em footer h1 h2 h3 h4 h5 h6 head header hr html i img li link main meta nav ol p pre s section small span strong style sub sup table tbody td th thead title tr u ul".split()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatible(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode NFKC and HTML entities, which Spark has no function for."""
     for s in texts:
