@@ -272,7 +272,7 @@ def addresses(spark, sf_dir):
 
 @query(VIEW + "SELECT doc_id, town AS place FROM v UNION ALL SELECT doc_id, home FROM v")
 def birth_places(spark, sf_dir):
-    v = legal_view(spark, sf_dir).select("doc_id", F.concat(F.lit("nato a "), "town", F.lit(" e residente a "), "home", F.lit(" da anni")).alias("text"))
+    v = legal_view(spark, sf_dir).select("doc_id", F.concat(F.lit("nato a "), "town", F.lit(", residente a "), "home", F.lit(" da anni")).alias("text"))
     return v.select("doc_id", F.explode(detect.places(F.col("text"), LEX)).alias("s")).select("doc_id", F.col("s.text").alias("place"))
 
 
