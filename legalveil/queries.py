@@ -218,7 +218,7 @@ def first_name_scan(spark, sf_dir):
     return v.select("doc_id", F.explode(s).alias("s")).select("doc_id", F.col("s.surface").alias("surface"))
 
 
-@query(VIEW + "SELECT doc_id, given || ' ' || surname AS display, 'Ricorrente' AS role FROM v UNION ALL SELECT doc_id, counsel, 'Difensore' FROM v")
+@query(VIEW + "SELECT doc_id, given || ' ' || surname AS display, 'Ricorrente' AS role FROM v UNION ALL SELECT doc_id, counsel, 'Difensore' FROM v UNION ALL SELECT doc_id, judge, 'Nominativo' FROM v")
 def people_merged(spark, sf_dir):
     return _people(_fast(legal_view(spark, sf_dir))).select("doc_id", F.explode("people").alias("p")).select("doc_id", F.col("p.display").alias("display"), F.col("p.role").alias("role"))
 
