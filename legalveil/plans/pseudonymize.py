@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config, resolved
 from ..functions.lexicons import Lexicons
+from ..functions.once import step
 from ..operators import detect, edits, people, resolve, verify
 from ..operators.normalize import normalized
 
@@ -32,30 +33,32 @@ def analyze(docs: DataFrame, config: Config | None = None, *, id_col="doc_id", t
         m = mentions.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "text", "role", "source"))).alias("mentions"))
         d = d.join(m, "doc_id", "left")
     text = F.col("text")
-    d = d.withColumn("protections", detect.protections(text)).withColumn("seeds", detect.seeds(text, cfg, lex))
+    d = step(step(d, "protections", detect.protections(text)), "seeds", detect.seeds(text, cfg, lex))
     if mentions is not None:
         some = F.coalesce(F.col("mentions"), F.array().cast("array<struct<start:int,text:string,role:string,source:string>>"))
-        d = d.withColumn("seeds", F.concat("seeds", edits.mention_seeds(some, F.size("seeds"))))
+        d = step(d, "seeds", F.concat("seeds", edits.mention_seeds(some, F.size("seeds"))))
     if edits_table is not None:
-        d = d.withColumn("seeds", F.concat("seeds", edits.user_seeds(F.size("seeds"))))
-    d = d.withColumn("people", people.with_parent(people.merged(F.col("seeds"))))
-    d = d.withColumn("people", people.folded(F.col("people")))
-    d = d.withColumn("judges", people.judge_keys(F.col("protections")))
-    d = d.withColumn("people", people.without_judges(F.col("people"), F.col("judges"), cfg.keep_judges))
-    d = d.withColumn("conflicts", people.conflicts(F.col("people"), F.col("judges"))).withColumn("clash", people.conflicts(F.col("people"), F.col("judges"), people.BROAD))
-    d = d.withColumn("ambiguous", people.ambiguous_tokens(F.col("people"), lex, cfg.min_token_len))
+        d = step(d, "seeds", F.concat("seeds", edits.user_seeds(F.size("seeds"))))
+    d = step(d, "people", people.merged(F.col("seeds")))
+    d = step(d, "people", people.with_parent(F.col("people")))
+    d = step(d, "people", people.folded(F.col("people")))
+    d = step(d, "judges", people.judge_keys(F.col("protections")))
+    d = step(d, "people", people.without_judges(F.col("people"), F.col("judges"), cfg.keep_judges))
+    d = step(d, "conflicts", people.conflicts(F.col("people"), F.col("judges")))
+    d = step(d, "clash", people.conflicts(F.col("people"), F.col("judges"), people.BROAD))
+    d = step(d, "ambiguous", people.ambiguous_tokens(F.col("people"), lex, cfg.min_token_len))
     p, a = F.col("people"), F.col("ambiguous")
-    d = d.withColumn("candidates", F.concat(
+    d = step(d, "candidates", F.concat(
         detect.protected(F.col("protections"), F.col("conflicts"), cfg), people.person_candidates(text, p, a, cfg, lex), people.ambiguous_candidates(text, a),
         people.given_candidates(text, p, cfg, lex), detect.initials(text, cfg, lex), detect.structured(text, lex), detect.addresses(text), detect.places(text, lex), detect.companies(text, cfg)))
     if edits_table is not None:
-        d = d.withColumn("candidates", edits.edited(text, F.col("candidates")))
-    d = d.withColumn("decisions", resolve.resolved(F.col("candidates")))
+        d = step(d, "candidates", edits.edited(text, F.col("candidates")))
+    d = step(d, "decisions", resolve.resolved(F.col("candidates")))
     prior, fixed = (F.col("prior_tags"), F.col("placeholders")) if edits_table is not None else (None, None)
-    d = d.withColumn("decisions", resolve.tagged(F.col("decisions"), cfg.roles, prior, fixed))
-    d = d.withColumn("warnings", F.transform("clash", lambda k: F.concat(F.lit("role conflict: '"), k, F.lit("' is both a judge and a private party"))))
-    d = d.withColumn("mapping", resolve.mapping(F.col("decisions"))).withColumn("entities", resolve.records(F.col("decisions")))
-    d = d.withColumn("expected_aliases", verify.expected_aliases(p, F.col("decisions"), lex, cfg.min_token_len))
+    d = step(d, "decisions", resolve.tagged(F.col("decisions"), cfg.roles, prior, fixed))
+    d = step(d, "warnings", F.transform("clash", lambda k: F.concat(F.lit("role conflict: '"), k, F.lit("' is both a judge and a private party"))))
+    d = step(step(d, "mapping", resolve.mapping(F.col("decisions"))), "entities", resolve.records(F.col("decisions")))
+    d = step(d, "expected_aliases", verify.expected_aliases(p, F.col("decisions"), lex, cfg.min_token_len))
     return d.select("doc_id", "text", "protections", "people", "candidates", "decisions", "mapping", "entities", "expected_aliases", "warnings")
 
 
@@ -63,13 +66,13 @@ def render(analysis: DataFrame, config: Config | None = None, *, lexicons: Lexic
     """Reports: doc_id, output, mapping, protected, replacements, risk, status, warnings, residuals,
     entities, decisions, schema_version."""
     cfg, lex = resolved(config, overrides), lexicons or Lexicons()
-    d = analysis.withColumn("output", resolve.rendered(F.col("text"), F.col("decisions")))
-    d = d.withColumn("replacements", F.size(F.filter("decisions", lambda x: x["replacement"].isNotNull())))
-    d = d.withColumn("protected", F.array_sort(F.array_distinct(F.transform(F.filter("decisions", lambda x: x["kind"] == "JUDGE"), lambda x: x["text"]))))
+    d = step(analysis, "output", resolve.rendered(F.col("text"), F.col("decisions")))
+    d = step(d, "replacements", F.size(F.filter("decisions", lambda x: x["replacement"].isNotNull())))
+    d = step(d, "protected", F.array_sort(F.array_distinct(F.transform(F.filter("decisions", lambda x: x["kind"] == "JUDGE"), lambda x: x["text"]))))
     if cfg.verify:
         kept = F.filter(resolve.output_spans(F.col("decisions")), lambda k: k["protection"].isNotNull() & (k["protection"] != "user"))
-        d = d.withColumn("residuals", verify.residuals(F.col("output"), kept, F.col("expected_aliases"), F.col("replacements"), lex))
-        d = d.withColumn("status", verify.status(F.col("residuals"), F.col("warnings"))).withColumn("risk", verify.risk(F.col("residuals"), F.col("warnings")))
+        d = step(d, "residuals", verify.residuals(F.col("output"), kept, F.col("expected_aliases"), F.col("replacements"), lex))
+        d = step(step(d, "status", verify.status(F.col("residuals"), F.col("warnings"))), "risk", verify.risk(F.col("residuals"), F.col("warnings")))
     else:
         d = d.withColumn("residuals", F.array().cast("array<struct<start:int,end:int,text:string,kind:string,source:string,reason:string>>"))
         d = d.withColumn("status", F.lit("not_run")).withColumn("risk", F.lit(0.0))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .config import Config
 from .functions.checks import tax_code_check
 from .functions.lexicons import Lexicons
+from .functions.once import once, step
 from .functions.spans import find
 from .operators import detect, metrics, people, resolve
 from .operators import rules as R
@@ -92,13 +93,13 @@ def _docs(spark, sf_dir, table="documents"):
 
 def _spans(df: DataFrame, spans, *more) -> DataFrame:
     """doc_id, span_start, span_end, span_text of an array of spans."""
-    return df.select("doc_id", F.explode(spans).alias("s")).select("doc_id", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.text").alias("span_text"), *[F.col(f"s.{m}").alias(m) for m in more])
+    return df.select("doc_id", once(spans).alias("s")).select("doc_id", F.explode("s").alias("s")).select("doc_id", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.text").alias("span_text"), *[F.col(f"s.{m}").alias(m) for m in more])
 
 
 def _people(v: DataFrame) -> DataFrame:
     """v with seeds and people, each computed once."""
-    v = v.withColumn("seeds", detect.seeds(F.col("text"), Config(), LEX))
-    return v.withColumn("people", people.merged(F.col("seeds")))
+    v = step(v, "seeds", detect.seeds(F.col("text"), Config(), LEX))
+    return step(v, "people", people.merged(F.col("seeds")))
 
 
 def _at(value: str, **more: str) -> str:
@@ -187,14 +188,14 @@ def keep_judges(spark, sf_dir):
 @query(VIEW + "SELECT doc_id, judge AS member FROM v UNION ALL SELECT doc_id, counsel FROM v")
 def bench_window(spark, sf_dir):
     v = legal_view(spark, sf_dir).select("doc_id", F.concat(F.lit("Collegio composto dai magistrati: "), "judge", F.lit(", "), "counsel", F.lit("; ha pronunciato")).alias("text"))
-    return v.select("doc_id", F.explode(detect.within(F.col("text"), R.BENCH, R.FULL)).alias("s")).select("doc_id", F.col("s.text").alias("member"))
+    return v.select("doc_id", once(detect.within(F.col("text"), R.BENCH, R.FULL)).alias("s")).select("doc_id", F.explode("s").alias("s")).select("doc_id", F.col("s.text").alias("member"))
 
 
 @query(VIEW + "SELECT doc_id, given || ' ' || surname AS surface, 'regex:party_role' AS source FROM v UNION ALL SELECT doc_id, counsel, 'regex:counsel' FROM v UNION ALL SELECT doc_id, counsel, 'regex:difeso_da' FROM v")
 def seed_anchors(spark, sf_dir):
     cfg = Config(first_names=False)
     s = detect.seeds(F.col("text"), cfg, LEX)
-    out = legal_view(spark, sf_dir).select("doc_id", F.explode(s).alias("s")).select("doc_id", F.col("s.surface").alias("surface"), F.col("s.source").alias("source"))
+    out = legal_view(spark, sf_dir).select("doc_id", once(s).alias("s")).select("doc_id", F.explode("s").alias("s")).select("doc_id", F.col("s.surface").alias("surface"), F.col("s.source").alias("source"))
     return out.filter(F.col("source").isin("regex:party_role", "regex:counsel", "regex:difeso_da"))
 
 
@@ -202,7 +203,7 @@ def seed_anchors(spark, sf_dir):
 def seed_lists(spark, sf_dir):
     v = legal_view(spark, sf_dir).select("doc_id", F.concat(F.lit("Ricorso proposto da "), "counsel", F.lit(" e "), "given", F.lit(" "), "surname", F.lit(" contro il Comune.")).alias("text"))
     s = F.filter(detect.seeds(F.col("text"), Config(first_names=False), LEX), lambda x: x["source"] == "regex:party_list")
-    return v.select("doc_id", F.explode(s).alias("s")).select("doc_id", F.col("s.surface").alias("surface"))
+    return v.select("doc_id", once(s).alias("s")).select("doc_id", F.explode("s").alias("s")).select("doc_id", F.col("s.surface").alias("surface"))
 
 
 @query(VIEW + "SELECT doc_id, CAST(0 AS INTEGER) AS n_seeds FROM v")
@@ -215,7 +216,7 @@ def seed_guards(spark, sf_dir):
 def first_name_scan(spark, sf_dir):
     v = legal_view(spark, sf_dir).select("doc_id", F.concat(F.lit("Ieri "), "given", F.lit(" "), "surname", F.lit(" era presente.")).alias("text"))
     s = F.filter(detect.seeds(F.col("text"), Config(), LEX), lambda x: x["source"] == "lexicon:first_name")
-    return v.select("doc_id", F.explode(s).alias("s")).select("doc_id", F.col("s.surface").alias("surface"))
+    return v.select("doc_id", once(s).alias("s")).select("doc_id", F.explode("s").alias("s")).select("doc_id", F.col("s.surface").alias("surface"))
 
 
 @query(VIEW + "SELECT doc_id, given || ' ' || surname AS display, 'Ricorrente' AS role FROM v UNION ALL SELECT doc_id, counsel, 'Difensore' FROM v UNION ALL SELECT doc_id, judge, 'Nominativo' FROM v")
@@ -226,16 +227,16 @@ def people_merged(spark, sf_dir):
 @query(VIEW + "SELECT doc_id, given || ' ' || surname AS display, given || ' ' || surname || '+' || surname AS variants FROM v")
 def people_folded(spark, sf_dir):
     v = legal_view(spark, sf_dir).select("doc_id", F.concat(F.lit("Si costituisce il sig. "), "given", F.lit(" "), "surname", F.lit(". Il sig. "), "surname", F.lit(" insiste.")).alias("text"))
-    v = _people(v).withColumn("p", people.with_parent(F.col("people"))).withColumn("p", people.folded(F.col("p")))
+    v = step(step(_people(v), "p", people.with_parent(F.col("people"))), "p", people.folded(F.col("p")))
     return v.select("doc_id", F.explode("p").alias("p")).select("doc_id", F.col("p.display").alias("display"), F.array_join("p.variants", "+").alias("variants"))
 
 
 @query(VIEW + "SELECT doc_id, array_to_string(list_sort(string_split(lower(counsel), ' ')), ' ') AS conflict FROM v")
 def judge_conflicts(spark, sf_dir):
     v = legal_view(spark, sf_dir).select("doc_id", F.concat(F.lit("Presidente: "), "counsel", F.lit("\nIl ricorrente "), "counsel", F.lit(" insiste.")).alias("text"))
-    v = _people(v).withColumn("judges", people.judge_keys(detect.protections(F.col("text"))))
+    v = step(_people(v), "judges", people.judge_keys(detect.protections(F.col("text"))))
     c = people.conflicts(F.col("people"), F.col("judges"))
-    return v.select("doc_id", F.explode(c).alias("conflict"))
+    return v.select("doc_id", once(c).alias("c")).select("doc_id", F.explode("c").alias("conflict"))
 
 
 def _analysis(spark, sf_dir, **options):
@@ -246,7 +247,7 @@ def _analysis(spark, sf_dir, **options):
 def propagate_names(spark, sf_dir):
     """Full-name and lone-surname spans of the applicant."""
     c = F.filter("candidates", lambda x: (x["kind"] == "PERSON") & (x["role"] == "Ricorrente") & ~x["source"].contains("given_name"))
-    a = _analysis(spark, sf_dir).withColumn("c", c)
+    a = step(_analysis(spark, sf_dir), "c", c)
     surname = F.filter("c", lambda x: (x["priority"] == 20) & x["text"].isin(*SURNAMES))
     return a.select("doc_id", F.size(F.filter("c", lambda x: x["priority"] == 30)).alias("n_full"), F.size(surname).alias("n_token"))
 
@@ -255,14 +256,14 @@ def propagate_names(spark, sf_dir):
 def ambiguous_aliases(spark, sf_dir):
     v = legal_view(spark, sf_dir).select("doc_id", F.concat(F.lit("Il sig. Mario "), "surname", F.lit(" e la sig.ra Anna "), "surname", F.lit(" ricorrono.")).alias("text"))
     t = people.ambiguous_tokens(F.col("people"), LEX, 4)
-    return _people(v).select("doc_id", F.explode(t).alias("token"))
+    return _people(v).select("doc_id", once(t).alias("t")).select("doc_id", F.explode("t").alias("token"))
 
 
 @query(VIEW + "SELECT doc_id, 'A.G.' AS value, 'Ricorrente' AS role, CAST(2 AS INTEGER) AS n FROM v")
 def initials_prudent(spark, sf_dir):
     v = legal_view(spark, sf_dir).select("doc_id", F.concat(F.lit("Il ricorrente A.G. espone; A. G. insiste, P.Q.M. rigetta. "), "town").alias("text"))
     c = detect.initials(F.col("text"), Config(initials=True), LEX)
-    return v.select("doc_id", F.explode(c).alias("c")).groupBy("doc_id", F.col("c.value").alias("value"), F.col("c.role").alias("role")).agg(F.count("*").cast("int").alias("n"))
+    return v.select("doc_id", once(c).alias("c")).select("doc_id", F.explode("c").alias("c")).groupBy("doc_id", F.col("c.value").alias("value"), F.col("c.role").alias("role")).agg(F.count("*").cast("int").alias("n"))
 
 
 @query(VIEW + _at("'Via Garibaldi ' || num"))
@@ -273,13 +274,13 @@ def addresses(spark, sf_dir):
 @query(VIEW + "SELECT doc_id, town AS place FROM v UNION ALL SELECT doc_id, home FROM v")
 def birth_places(spark, sf_dir):
     v = legal_view(spark, sf_dir).select("doc_id", F.concat(F.lit("nato a "), "town", F.lit(", residente a "), "home", F.lit(" da anni")).alias("text"))
-    return v.select("doc_id", F.explode(detect.places(F.col("text"), LEX)).alias("s")).select("doc_id", F.col("s.text").alias("place"))
+    return v.select("doc_id", once(detect.places(F.col("text"), LEX)).alias("s")).select("doc_id", F.explode("s").alias("s")).select("doc_id", F.col("s.text").alias("place"))
 
 
 @query(VIEW + "SELECT doc_id, surname || ' Costruzioni S.r.l.' AS company, 'regex:private_company' AS source FROM v UNION ALL SELECT doc_id, 'Fratelli ' || surname || ' S.n.c.', 'regex:person_named_company' FROM v")
 def companies_all(spark, sf_dir):
     v = legal_view(spark, sf_dir).select("doc_id", F.concat(F.lit("contratto tra la "), "surname", F.lit(" Costruzioni S.r.l. e la Fratelli "), "surname", F.lit(" S.n.c. del luogo")).alias("text"))
-    return v.select("doc_id", F.explode(detect.companies(F.col("text"), Config(companies=True))).alias("s")).select("doc_id", F.col("s.text").alias("company"), F.col("s.source").alias("source"))
+    return v.select("doc_id", once(detect.companies(F.col("text"), Config(companies=True))).alias("s")).select("doc_id", F.explode("s").alias("s")).select("doc_id", F.col("s.text").alias("company"), F.col("s.source").alias("source"))
 
 
 @query("SELECT l_orderkey, l_linenumber, true AS disjoint FROM lineitem")
