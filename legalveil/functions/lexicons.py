@@ -9,7 +9,7 @@ FIRST_NAMES = """adele agnese alba alberto aldo alessandra alessandro alessia al
 angelo anna annalisa antonella antonio arianna aurora barbara beatrice benedetta bruno camilla carla carlo carmela carmine
 caterina cecilia chiara claudia claudio corrado cristiano cristina damiano daniela daniele dario davide debora diego
 domenico donatella edoardo elena eleonora elisa elisabetta emanuela emanuele emilia emilio enrico ettore eugenio eva
-fabio fabrizio federica federico ferdinando filippo fiorella flavio franca francesca francesco franco gabriele gabriella
+fabio fabrizio federica federico ferdinando ferruccio filippo fiorella flavio franca francesca francesco franco gabriele gabriella
 gaetano gennaro giacomo gianluca gianni giorgia giorgio giovanna giovanni giulia giuliana giuliano giulio giuseppe
 giuseppina grazia graziella guido ilaria irene ivan laura leonardo letizia lidia lorenzo luca lucia luciano luigi luisa
 manuela marco margherita maria mariangela marina mario marta martina massimiliano massimo matteo maurizio mauro michela

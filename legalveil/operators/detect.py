@@ -109,7 +109,9 @@ def rare_tokens(name: Column, lexicons: Lexicons, least: int) -> Column:
 
 
 def in_organisation(text: Column, x: Column) -> Column:
-    return after(text, x["end"], 12).rlike(rf"^[^\S\n]*,?[^\S\n]*{R.SUFFIX}") | before(text, x["start"], 60).rlike(r"(?iu)(?:banca|istituto|fondazione|associazione|ospedale|scuola|universit[àa])[^\S\n]+(?:di[^\S\n]+)?$")
+    head = F.regexp_extract(x["text"], r"(?<!\p{L})(\p{L})$", 1)  # a capture may end with the S of S.r.l.
+    cut = (head != "") & F.concat(head, after(text, x["end"], 12)).rlike(rf"^{R.SUFFIX}")
+    return cut | after(text, x["end"], 12).rlike(rf"^[^\S\n]*,?[^\S\n]*{R.SUFFIX}") | before(text, x["start"], 60).rlike(r"(?iu)(?:banca|istituto|fondazione|associazione|ospedale|scuola|universit[àa])[^\S\n]+(?:di[^\S\n]+)?$")
 
 
 def named_place(text: Column, x: Column) -> Column:
