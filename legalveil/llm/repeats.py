@@ -20,11 +20,11 @@ out one record of each, so a string in a third of all texts never gathers in a t
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blobs
@@ -264,19 +264,21 @@ def covered(packed: bytes, least: int) -> np.ndarray:
     return np.stack([a[lead], b[np.concatenate((lead[1:], [len(a)])) - 1]], 1)
 
 
-def drop_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", least: int = LEAST, texts: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", least: int = LEAST, texts: bool = False, carry: Sequence[Column] = ()) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of start,
     end in bytes), and with ``texts`` also kept (the remaining bytes, as text; bytes of a character
-    cut in two go with the rest of it).
+    cut in two go with the rest of it), and with ``carry`` a struct ``row`` of these columns.
 
     Null and empty texts have no bytes and lose none; texts shorter than ``least`` lose nothing.
     Repeated rows are repeats of each other, whatever their id."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.struct(*carry).alias("row")] if carry else []))
     d = d.withColumn("k", F.xxhash64("doc_id", "text"))
     marks = repeat_marks(d.filter(F.octet_length("text") >= least).select("k", "text"), least)
     flagged = among(d, marks)
     spans_type = "array<struct<start:long,end:long>>"
-    clean = flagged.filter("not maybe").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.array().cast(spans_type).alias("spans"), *([F.col("text").alias("kept")] if texts else []))
+    clean = flagged.filter("not maybe").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.array().cast(spans_type).alias("spans"), *([F.col("text").alias("kept")] if texts else []), *(["row"] if carry else []))
+
+    carried = "row" in d.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,11 +300,14 @@ def drop_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", least: in
                         kept.append("".join(x[p:q].tobytes().decode("utf-8", "ignore") for p, q in zip(at[::2], at[1::2], strict=True)))
                 cols = [batch["doc_id"][a:b], pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(sha), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
                 names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
-                yield pa.RecordBatch.from_arrays(cols + ([pa.array(kept)] if texts else []), names + ["kept"] * texts)
-
-    schema = f"doc_id {dict(d.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {spans_type}" + ", kept string" * texts
-    rest = flagged.filter("maybe").drop("maybe").join(marks.hint("shuffle_hash"), "k", "left").select("doc_id", "text", "packed")
-    return clean.unionByName(rest.mapInArrow(cut, schema))
+                if texts:
+                    cols, names = [*cols, pa.array(kept, pa.string())], [*names, "kept"]
+                if carried:
+                    cols, names = [*cols, batch["row"][a:b]], [*names, "row"]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    rest = flagged.filter("maybe").drop("maybe").join(marks.hint("shuffle_hash"), "k", "left").select("doc_id", "text", "packed", *(["row"] if carry else []))
+    return clean.unionByName(rest.mapInArrow(cut, clean.schema))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
