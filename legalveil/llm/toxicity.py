@@ -2,9 +2,9 @@
 
 Terms are the distinct words of a text (letters, lower case) and the openings of longer words,
 hashed to ``1 << bits`` slots. The machine scores w0 + sum w[i] + sum over pairs <v[i], v[j]>, so a
-pair of terms counts beyond what each says alone. Texts of any length keep every term: its weight
-does not shrink with the text, and terms that the training rows do not tell apart weigh nothing
-(their weights are held at zero by the update, which is proximal).
+pair of terms counts beyond what each says alone. Texts of any length keep every term, and its weight
+does not shrink with the text. Every term of LEAST_ROWS rows has a weight and a vector; terms whose
+own rates do not tell the classes apart start from a weight of zero, and small steps regularise.
 """
 
 from __future__ import annotations
@@ -24,9 +24,8 @@ BITS = 20
 RANK = 4
 OPENINGS = (4, 5)  # code units of the openings of longer words
 SAMPLE = 8_000  # most labelled rows of each class that the fit sees
-TERMS = 20_000  # most terms per row that the fit sees; scoring sees all
 LEAST_ROWS = 3  # of the sample, for a term to have a weight
-LEAST_G2 = 20.0  # log-likelihood ratio beyond which a term tells the classes apart
+LEAST_G2 = 20.0  # log-likelihood ratio beyond which a term's weight starts from its log odds
 CUT = 0.7
 
 _LETTER = np.zeros(256, bool)
@@ -64,11 +63,11 @@ def fit(slots: list[np.ndarray], y: np.ndarray, *, bits: int = BITS, rank: int =
     rng = np.random.default_rng(seed)
     count = np.bincount(np.concatenate([*slots, np.empty(0, np.int64)]).astype(np.int64), minlength=1 << bits)
     kept = np.flatnonzero(count >= LEAST_ROWS)
-    place = np.full(1 << bits, -1, np.int64)
+    place = np.full(1 << bits, -1, np.int32)
     place[kept] = np.arange(len(kept))
     rows = [r[r >= 0] for r in (place[s] for s in slots)]
     # start from how far each term's rate differs between the classes: a smoothed log odds, kept
-    # only where it is beyond chance, so that terms of no class begin (and mostly stay) at zero
+    # only where it is beyond chance, so that terms of no class begin at zero
     n1, n0 = max(1, y.sum()), max(1, (1 - y).sum())
     seen1 = np.bincount(np.concatenate([*[r for r, t in zip(rows, y, strict=True) if t], np.empty(0, np.int64)]).astype(np.int64), minlength=len(kept))
     seen0 = count[kept] - seen1
@@ -77,9 +76,7 @@ def fit(slots: list[np.ndarray], y: np.ndarray, *, bits: int = BITS, rank: int =
     part = lambda seen, expected: np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / expected), 0.0)
     g2 = 2 * (part(seen1, (seen1 + seen0) * share) + part(seen0, (seen1 + seen0) * (1 - share)))
     w = np.where(g2 > LEAST_G2, np.clip(np.log(p1 / p0), -3, 3), 0.0)
-    v = rng.normal(0, 0.01, (len(kept), rank)) * (w != 0)[:, None]
-    live = w != 0  # pairs are learned among terms that tell the classes apart, and so are weights
-    rows = [r[live[r]] for r in rows]
+    v = rng.normal(0, 0.02, (len(kept), rank))
     w0 = -1.0
     gw, gv, g0 = np.full(len(kept), 1e-2), np.full((len(kept), rank), 1e-2), 1e-2
     weight = np.where(y > 0, 0.5 / n1, 0.5 / n0) * len(y)
@@ -104,10 +101,10 @@ def fit(slots: list[np.ndarray], y: np.ndarray, *, bits: int = BITS, rank: int =
             dv += 1e-3 * v[u]
             gw[u] += d**2
             gv[u] += dv**2
-            step = 0.1 / np.sqrt(gw[u])
+            step = 0.01 / np.sqrt(gw[u])
             w[u] -= step * d
             w[u] = np.sign(w[u]) * np.maximum(np.abs(w[u]) - step * 1e-3, 0)
-            v[u] -= 0.03 / np.sqrt(gv[u]) * dv
+            v[u] -= 0.01 / np.sqrt(gv[u]) * dv
     table = np.zeros((1 << bits, rank + 1), np.float32)
     table[kept, 0], table[kept, 1:] = w, v
     model = {"bits": bits, "w0": float(w0), "slots": np.flatnonzero(np.any(table != 0, axis=1)), "a": 1.0, "b": 0.0}
@@ -145,12 +142,12 @@ def fit_on(docs: DataFrame, labels: DataFrame, *, label="toxic", id_col="doc_id"
         for batch in batches:
             for a, b, buf, off in text_chunks(batch["text"]):
                 s, first = term_slots(buf, off, bits)
-                got = [s[i:j][:: max(1, -(-(j - i) // TERMS))].astype(np.int32) for i, j in zip(first[:-1], first[1:], strict=True)]
+                got = [s[i:j].astype(np.int32) for i, j in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch["y"][a:b], pa.array([x.tobytes() for x in got], pa.binary())], ["y", "slots"])
 
     got = rows.mapInArrow(slots, "y int, slots binary").toArrow()
     y = got["y"].to_numpy().astype(float)
-    terms = [np.frombuffer(x, np.int32).astype(np.int64) for x in got["slots"].to_pylist()]
+    terms = [np.frombuffer(x, np.int32) for x in got["slots"].to_pylist()]
     if not len(y) or len(set(y.tolist())) < 2:
         return None
     order = sorted(range(len(y)), key=lambda i: (y[i], terms[i].tobytes()))  # whatever order the rows came in
