@@ -1,23 +1,25 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
 Texts are cut into units at places that no piece crosses (before white space, around characters
-that stand alone, between a letter and a mark that never follows one in a piece). The distinct
-units of the corpus are exploded into their substrings of bounded length, equi-joined to the piece
-table, and the edges are grouped by unit and folded with Spark's higher-order aggregate:
-
-* for a unigram model by Viterbi, the best total score over the lattice;
-* for a BPE model by merges: among the edges whose two halves are both whole at that point, the one
-  of best score, leftmost of equals, until none is left. A BPE model's scores are merge ranks, and
-  a Viterbi path over them is not the encoding that the model defines.
-
-The fold yields each unit's cuts. Texts are then encoded from a table of the most frequent units
-(at most HOT of 16 bytes); texts with other units get those by equi-joins. Units longer than
-LONGEST symbols are folded where they stand, by the same rule.
+that stand alone, between a letter and a mark that never follows one in a piece). The units of a
+partition, each once, run ahead of its texts through one stage without a shuffle:
+
+* their substrings of bounded length are exploded and equi-joined to the piece table, which is
+  broadcast (a model's pieces, whatever the corpus);
+* the edges of a unit, which stand together, are grouped into one row, best first;
+* Spark's higher-order aggregate folds them: for a unigram model by Viterbi, the best total score
+  over the lattice; for a BPE model by merges, an edge joining where its two halves are whole. A
+  BPE model's scores are merge ranks, and a Viterbi path over them is not the encoding that the
+  model defines.
+
+The fold yields each unit's cuts, from which the texts behind it get their ids. A task remembers
+SEEN units at most and then begins anew, so its memory is bounded whatever the corpus.
 """
 
 from __future__ import annotations
 
 import heapq
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,15 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, written
-from .textbytes import U, mixed, prefix_hash, span_hash, text_chunks
+from .common import read
+from .textbytes import U, prefix_hash, span_hash, text_chunks
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-HOT = 1 << 22
-LONGEST = 40
-GATHER = 100_000  # distinct units that a task gathers before it hands them on
+MODEL = os.environ.get("LEGALVEIL_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+SEEN = 1 << 20  # units that a task remembers, some 30 MB
+SHORT = 62  # symbols of the longest unit whose cuts are bits of one long; longer ones have several
+STEP = 64  # start positions of a unit that are exploded from one substring
 SPACE = "▁"
-FIRST = U(0x5BD1E995)  # marks a text's first unit, which gets the dummy prefix
 
 
 @dataclass
@@ -72,20 +73,22 @@ class Model:
                 out[i] = " ⁇ ".encode()
         self.out = np.frombuffer(b"".join(out), np.uint8)
         self.at = np.concatenate(([0], np.cumsum([len(x) for x in out])))
-
-    def symbols(self, unit: str, ends: list[int]) -> list[int]:
-        """Ids of the unit cut at these ends (in symbols); unknown symbols fall back to bytes."""
-        got, a = [], 0
-        for b in ends:
-            i = self.ids.get(unit[a:b])
-            if i is not None:
-                got.append(i)
-            elif self.bytes:
-                got += [self.bytes[x] for x in unit[a:b].encode()]
-            else:
-                got.append(self.unknown)
-            a = b
-        return got
+        if self.longest > SHORT - 1:
+            raise ValueError(f"a piece has more than {SHORT - 1} symbols")
+        self.word = SHORT - self.longest  # boundaries in each long of a longer unit
+        raw = [p.encode() for p in self.ids]
+        ends = np.cumsum([len(x) for x in raw]) if raw else np.empty(0, int)
+        h = span_hash(prefix_hash(np.frombuffer(b"".join(raw), np.uint8)), ends - [len(x) for x in raw], ends) if raw else np.empty(0, U)
+        order = np.argsort(h)
+        self.hashes, self.hash_ids = h[order], np.array(list(self.ids.values()), np.int32)[order]
+        self.by_byte = np.array([self.bytes.get(b, self.unknown) for b in range(256)], np.int32)
+        self.rank = {p: -self.scores[i] for p, i in self.ids.items()}
+
+    def in_order(self) -> bool:
+        """Whether the merges that make each piece come in order of their ranks. Then those of any
+        unit do (the merges inside a piece are those of the piece alone), and one pass over its
+        edges, best first, finds them all."""
+        return all(c == sorted(c) for c in (merges(p, self)[1] for p in self.ids if len(p) > 2))
 
 
 def load_model(path: str = MODEL) -> Model:
@@ -131,6 +134,17 @@ def _model_type(data: bytes) -> int:
     return 1
 
 
+def with_blank(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with the dummy blank in front of each that has a byte."""
+    full = off[1:] > off[:-1]
+    at = off + np.concatenate(([0], np.cumsum(full)))
+    out = np.full(len(buf) + int(full.sum()), 32, np.uint8)
+    own = np.ones(len(out), bool)
+    own[at[:-1][full]] = False
+    out[own] = buf
+    return out, at
+
+
 def cut_units(buf: np.ndarray, off: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, key, first unit of each text): units of all texts and their 64-bit keys."""
     n = len(buf)
@@ -143,209 +157,260 @@ def cut_units(buf: np.ndarray, off: np.ndarray, model: Model) -> tuple[np.ndarra
     start[off[:-1][off[1:] > off[:-1]]] = True
     a = np.flatnonzero(start)
     b = np.concatenate((a[1:], [n]))
-    key = span_hash(prefix_hash(buf), a, b)
-    first = np.searchsorted(a, off)
-    lead = first[:-1][off[1:] > off[:-1]]
-    key[lead] = mixed(key[lead] ^ FIRST)
-    return a, b, key, first
+    return a, b, span_hash(prefix_hash(buf), a, b), np.searchsorted(a, off)
 
 
-def unit_text(raw: bytes, lead: bool) -> str:
-    text = raw.decode("utf-8", "replace").replace(" ", SPACE)
-    return SPACE + text if lead else text
-
-
-def fold_long(unit: str, model: Model) -> list[int]:
-    """The merge fold of one unit of any length: ends of its pieces. (Viterbi for unigram models.)"""
-    n = len(unit)
-    rank = {p: -model.scores[i] for p, i in model.ids.items()} if not hasattr(model, "_rank") else model._rank
-    model._rank = rank
-    if not model.bpe:
-        low = max(rank.values()) + 10
-        best, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
-        for e in range(1, n + 1):
-            for s in range(max(0, e - model.longest), e):
-                c = rank.get(unit[s:e], low if e - s == 1 else None)
-                if c is not None and best[s] + c < best[e]:
-                    best[e], back[e] = best[s] + c, s
-        ends, e = [], n
-        while e:
-            ends.append(e)
-            e = back[e]
-        return ends[::-1]
-    right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-    whole = [True] * n
-    end = list(range(1, n + 1))
+def merges(unit: str, model: Model) -> tuple[list[int], list[float]]:
+    """The merge fold of one unit: (ends of its pieces, the ranks of the merges as they came)."""
+    n, rank = len(unit), model.rank
+    left, whole, end = list(range(-1, n - 1)), [True] * n, list(range(1, n + 1))
     heap = [(rank[unit[i : i + 2]], i, i + 1, i + 2) for i in range(n - 1) if unit[i : i + 2] in rank]
     heapq.heapify(heap)
+    came = []
     while heap:
-        _, i, j, e = heapq.heappop(heap)
-        if not (whole[i] and j < n and whole[j] and end[i] == j and end[j] == e):
+        c, i, j, e = heapq.heappop(heap)
+        if not (whole[i] and whole[j] and end[i] == j and end[j] == e):
             continue
-        whole[j], end[i], right[i] = False, e, e
+        came.append(c)
+        whole[j], end[i] = False, e
         if e < n:
             left[e] = i
             if (p := unit[i : end[e]]) in rank:
                 heapq.heappush(heap, (rank[p], i, e, end[e]))
-        if i and (h := left[i]) >= 0 and (p := unit[h:e]) in rank:
+        if (h := left[i]) >= 0 and (p := unit[h:e]) in rank:
             heapq.heappush(heap, (rank[p], h, i, e))
-        left[j] = i
-    return [end[i] for i in range(n) if whole[i]]
-
+    return [end[i] for i in range(n) if whole[i]], came
 
-def vocabulary(docs: DataFrame, model) -> DataFrame:
-    """(key, unit, n) of the distinct units of at most LONGEST symbols, from docs (text)."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        got: dict[int, list] = {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array([x[0] for x in got.values()]), pa.array([x[1] for x in got.values()], pa.int64())], ["key", "unit", "n"])
-            got.clear()
+def task_units(shared, most: int, kind: str):
+    """Rows (what, doc_id, text, key, unit): the units that a task has not met (0) ahead of the
+    texts that hold them (1), and 2 where it begins anew."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, seen = shared.value, np.empty(0, U)
+        names = ["what", "doc_id", "text", "key", "unit"]
         for batch in batches:
-            for _, _, buf, off in text_chunks(batch["text"]):
-                a, b, key, first = cut_units(buf, off, m)
-                lead = np.zeros(len(a), bool)
-                lead[first[:-1][off[1:] > off[:-1]]] = True
-                _, at, many = np.unique(key.view(np.int64), return_index=True, return_counts=True)
-                raw = buf.tobytes()
-                for k, i, j, f, c in zip(key[at].view(np.int64).tolist(), a[at].tolist(), b[at].tolist(), lead[at].tolist(), many.tolist(), strict=True):
-                    if k in got:
-                        got[k][1] += c
-                    elif j - i <= 4 * LONGEST and len(u := unit_text(raw[i:j], f)) <= LONGEST:
-                        got[k] = [u, c]
-                if len(got) > GATHER:
-                    yield from out()
-        if got:
-            yield from out()
-
-    rows = docs.mapInArrow(count, "key long, unit string, n long")
-    return rows.groupBy("key", "unit").agg(F.sum("n").alias("n"))
-
-
-def lattice_cuts(units: DataFrame, model: Model) -> DataFrame:
-    """(key, n, cuts): for each unit (key, unit, n) a bit for each place between symbols, set where
-    a piece ends. Explode, equi-join, group, fold; the units stay in the partitions of their key.
-    The empty piece stands for each unit itself, so one without an edge is not lost."""
-    spark = units.sparkSession
-    rows = [("", 0.0), *((p, -model.scores[i]) for p, i in model.ids.items())]
-    table = F.broadcast(spark.createDataFrame(pa.table({"piece": [r[0] for r in rows], "cost": [r[1] for r in rows]}).to_pandas()))  # the piece table
+            id_type, text_type = batch["doc_id"].type, batch["text"].type
+            for a, b, buf, off in text_chunks(batch["text"]):
+                buf, off = with_blank(buf, off)
+                s, e, key, _ = cut_units(buf, off, m)
+                key, at = np.unique(key, return_index=True)
+                if len(seen) and len(seen) + len(key) > most:
+                    seen = seen[:0]
+                    yield pa.RecordBatch.from_arrays([pa.array([2], pa.int8()), pa.nulls(1, id_type), pa.nulls(1, text_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())], names)
+                if len(seen):
+                    place = np.minimum(np.searchsorted(seen, key), len(seen) - 1)
+                    new = seen[place] != key
+                    key, at = key[new], at[new]
+                seen = np.sort(np.concatenate([seen, key]), kind="stable")
+                for i in range(0, len(key), 8192):
+                    k, w = key[i : i + 8192], at[i : i + 8192]
+                    flat, size = gathered(buf, s[w], e[w] - s[w], np.arange(len(w)))
+                    ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+                    unit = pa.BinaryArray.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(k), np.int8)), pa.nulls(len(k), id_type), pa.nulls(len(k), text_type), pa.array(k.view(np.int64)), unit], names)
+                n = b - a
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int8)), batch["doc_id"][a:b], batch["text"][a:b], pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
+
+    return run, f"what byte, doc_id {kind}, text string, key long, unit binary"
+
+
+def edges_of(rows: DataFrame, model: Model) -> DataFrame:
+    """The rows, each with pos = k = 0, and behind each unit its lattice: a row (pos, k, cost) for
+    each substring of k symbols from pos (1 is the first) that is a piece."""
+    spark = rows.sparkSession
     least = 2 if model.bpe else 1
-    size = F.length("unit")
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.when(size - i + 1 >= least, F.transform(F.sequence(F.lit(least), F.least(F.lit(model.longest), F.greatest(size - i + 1, F.lit(least)))), lambda k: F.struct(i.alias("i"), k.alias("k")))).otherwise(F.array().cast("array<struct<i:int,k:int>>"))))
-    spans = F.concat(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("k"))), spans)
-    e = units.select("key", "unit", "n", F.explode(spans).alias("s"))
-    e = e.select("key", "unit", "n", F.col("s.i").alias("i"), F.col("s.k").alias("k"), F.substring("unit", F.col("s.i"), F.col("s.k")).alias("piece"))
-    e = e.join(table, "piece").select("key", "unit", "n", F.when(F.col("k") > 0, F.struct("cost", "i", "k")).alias("edge"))
-    g = e.groupBy("key", "unit", "n").agg(F.sort_array(F.collect_list("edge")).alias("edges")).select("key", "n", F.length("unit").alias("size"), "edges")
-    if model.bpe:
-        # boundaries as bits: the edge from i of k symbols spans bits i-1 .. i-1+k
-        g = g.withColumn("edges", F.expr("transform(edges, x -> struct(shiftleft(1L, x.i - 1) | shiftleft(1L, x.i - 1 + x.k) as ends, shiftleft(shiftleft(1L, x.k - 1) - 1L, x.i) as mid))"))
-        fold = """aggregate(sequence(1, size), shiftleft(1L, size + 1) - 1L, (s, _) -> s & ~coalesce(
-            get(filter(edges, x -> (s & x.ends) = x.ends and bit_count(s & x.mid) = 1), 0).mid, 0L))"""
-        return g.select("key", "n", F.expr(fold).alias("cuts"))
-    low = max(-x for x in model.scores) + 10
-    fold = f"""aggregate(sequence(1, size), array(struct(0D as c, 0L as cuts)), (best, e) -> concat(best, array(
-        array_min(concat(array(struct(best[e - 1].c + {low}D as c, best[e - 1].cuts | shiftleft(1L, e) as cuts)),
-        transform(filter(edges, x -> x.i + x.k - 1 = e), x -> struct(best[x.i - 1].c + x.cost as c, best[x.i - 1].cuts | shiftleft(1L, e) as cuts))))))).cuts[size]"""
-    fold = fold.replace(").cuts[size]", ")[size].cuts")
-    return g.select("key", "n", F.expr(fold).alias("cuts"))
-
-
-def hot_units(cuts: DataFrame, most: int) -> DataFrame:
-    """The units of at least the count at which no more than ``most`` are left."""
-    by = cuts.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("b")).count().orderBy(F.desc("b")).collect()  # a few hundred rows
-    total, floor = 0, None
-    for r in by:
-        total += r["count"]
-        if total > most:
-            break
-        floor = r["b"]
-    return cuts.filter(F.floor(F.log2("n") * 8) >= floor) if floor is not None else cuts.filter(F.lit(False))
-
-
-def ends_of(mask: int) -> list[int]:
-    return [i for i in range(1, mask.bit_length()) if mask >> i & 1]
-
-
-def encode(docs: DataFrame, model: Model | None = None, *, id_col="doc_id", text_col="text", hot: int = HOT) -> DataFrame:
+    pieces = [("", 0.0), *((p, c) for p, c in model.rank.items() if len(p) >= least)]
+    table = spark.createDataFrame(pa.table({"piece": [p for p, _ in pieces], "cost": [c for _, c in pieces]}).to_pandas())
+    longest = model.longest
+    u = rows.withColumn("unit", F.expr(f"replace(cast(unit as string), ' ', '{SPACE}')")).withColumn("n", F.expr("coalesce(char_length(unit), 0)"))
+    u = u.withColumn("c", F.explode(F.expr(f"sequence(0, (greatest(n, 1) - 1) div {STEP})")))
+    u = u.withColumn("part", F.expr(f"if(n <= {STEP}, coalesce(unit, ''), substring(unit, c * {STEP} + 1, {STEP + longest - 1}))")).withColumn("size", F.expr(f"least(n - c * {STEP}, {STEP + longest - 1})"))
+    first, last = "if(c = 0, 0, 1)", f"least({STEP}, size - {least - 1})"
+    u = u.withColumn("i", F.explode(F.expr(f"if({last} >= {first}, sequence({first}, {last}), if(c = 0, sequence(0, 0), cast(array() as array<int>)))")))
+    u = u.withColumn("k", F.explode(F.expr(f"if(i = 0, sequence(0, 0), sequence({least}, least({longest}, size - i + 1)))")))
+    u = u.withColumn("piece", F.expr("substring(part, i, k)"))
+    head = "k = 0"
+    return u.join(F.broadcast(table), "piece").select("what", "doc_id", "text", F.expr(f"if({head}, key, null)").alias("key"), F.expr(f"if({head}, unit, null)").alias("unit"), "n", F.expr(f"if({head}, 0, c * {STEP} + i)").alias("pos"), "k", "cost")
+
+
+EDGES = "array<struct<at:int,ends:long,mid:long,cost:double>>"
+
+
+def grouped(shared, kind: str, short: int):
+    """Rows (what, doc_id, text, key, unit, n, edges): the edges that follow a unit as its array,
+    in the order of the fold. For merges an edge has its ends and what lies between them as bits,
+    from the word ``at``; for Viterbi ``at`` and ``ends`` are its first and last boundary."""
+    names = ["what", "doc_id", "text", "key", "unit", "n", "edges"]
+
+    def arrays(m: Model, batch: pa.RecordBatch) -> pa.RecordBatch:
+        pos, k, n, cost = (batch[c].to_numpy(zero_copy_only=False) for c in ("pos", "k", "n", "cost"))
+        head = np.flatnonzero(k == 0)
+        item = np.cumsum(k == 0) - 1
+        e = np.flatnonzero(k > 0)
+        of, a, size, cost = item[e], pos[e].astype(np.int64) - 1, k[e].astype(np.int64), cost[e]
+        if m.bpe:
+            order = np.lexsort((a, cost, of))
+            of, a, size, cost = of[order], a[order], size[order], cost[order]
+            at = np.where(n[head][of] <= short, 0, a // m.word)
+            low = (a - at * m.word).astype(U)
+            ends = (U(1) << low) | (U(1) << (low + size.astype(U)))
+            mid = ((U(1) << (size - 1).astype(U)) - U(1)) << (low + U(1))
+        else:
+            # a symbol that is no piece costs more than any; so does each, beside its own edge
+            units = np.repeat(np.arange(len(head)), n[head])
+            place = np.arange(len(units)) - np.repeat(np.cumsum(n[head]) - n[head], n[head])
+            low_cost = max(m.rank.values(), default=0.0) + 10
+            of, a, size = np.concatenate([of, units]), np.concatenate([a, place]), np.concatenate([size, np.ones(len(units), np.int64)])
+            cost = np.concatenate([cost, np.full(len(units), low_cost)])
+            order = np.lexsort((cost, a, a + size, of))
+            of, at, size, cost = of[order], a[order], size[order], cost[order]
+            ends, mid = (at + size).astype(U), np.zeros(len(at), U)
+        first = np.searchsorted(of, np.arange(len(head) + 1)).astype(np.int32)
+        edge = pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(ends.view(np.int64)), pa.array(mid.view(np.int64)), pa.array(cost)], ["at", "ends", "mid", "cost"])
+        own = batch.take(pa.array(head)) if len(head) < batch.num_rows else batch
+        return pa.RecordBatch.from_arrays([own["what"], own["doc_id"], own["text"], own["key"], own["unit"], own["n"], pa.ListArray.from_arrays(pa.array(first), edge)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, left = shared.value, []
+        for batch in batches:
+            head = np.flatnonzero(batch["k"].to_numpy() == 0)
+            if len(head) and head[-1] == 0 and not left:
+                left = [batch]
+            elif len(head):
+                done = pa.Table.from_batches([*left, batch.slice(0, head[-1])]).combine_chunks().to_batches()
+                left = [batch.slice(head[-1])]
+                for b in done:
+                    yield arrays(m, b)
+            else:
+                left.append(batch)
+        if left:
+            for b in pa.Table.from_batches(left).combine_chunks().to_batches():
+                yield arrays(m, b)
+
+    return run, f"what byte, doc_id {kind}, text string, key long, unit string, n int, edges {EDGES}"
+
+
+def folded(items: DataFrame, model: Model, short: int, in_order: bool) -> DataFrame:
+    """items with ``cuts``. For merges, bits where a piece ends: one long up to ``short`` symbols,
+    else a long for each model.word boundaries. For Viterbi the best last piece's start by end."""
+    if not model.bpe:
+        cand = "(s.done[x.at].c + x.cost)"
+        fold = f"""aggregate(edges, struct(array(struct(0D as c, 0 as f)) as done, cast('Infinity' as double) as c, 0 as f, 1 as e), (s, x) ->
+            if(x.ends > s.e, struct(concat(s.done, array(struct(s.c as c, s.f as f))) as done, concat(s.done, array(struct(s.c as c, s.f as f)))[x.at].c + x.cost as c, x.at as f, cast(x.ends as int) as e),
+               if({cand} < s.c, struct(s.done as done, {cand} as c, x.at as f, s.e as e), s)),
+            s -> concat(transform(s.done, d -> cast(d.f as long)), array(cast(s.f as long))))"""
+    else:
+        w = model.word
+        joins = "(({s}) & x.ends) = x.ends and bit_count(({s}) & x.mid) = 1".replace
+        one = f"aggregate(edges, shiftleft(1L, n + 1) - 1L, (s, x) -> if({joins('{s}', 's')}, s & ~x.mid, s))"
+        both = f"s[x.at] | shiftleft(s[x.at + 1], {w})"
+        many = f"""aggregate(edges, transform(sequence(0, n div {w} + 2), j -> shiftleft(1L, {w}) - 1L), (s, x) -> if({joins('{s}', both)},
+            transform(s, (v, j) -> if(j = x.at, v & ~x.mid, if(j = x.at + 1, v & ~shiftrightunsigned(x.mid, {w}), v))), s))"""
+        if not in_order:  # the best edge whose halves are whole, until none is left
+            best = "get(filter(edges, x -> {c}), 0)".replace
+            one = f"aggregate(sequence(1, n), shiftleft(1L, n + 1) - 1L, (s, _) -> s & ~coalesce({best('{c}', joins('{s}', 's'))}.mid, 0L))"
+            many = f"""aggregate(sequence(1, n), transform(sequence(0, n div {w} + 2), j -> shiftleft(1L, {w}) - 1L), (s, _) -> aggregate(array({best('{c}', joins('{s}', both))}), s, (t, x) ->
+                if(x is null, t, transform(t, (v, j) -> if(j = x.at, v & ~x.mid, if(j = x.at + 1, v & ~shiftrightunsigned(x.mid, {w}), v))))))"""
+        fold = f"if(n <= {short}, array({one}), {many})"
+    return items.select("what", "doc_id", "text", "key", "unit", "n", F.expr(f"if(what = 0, {fold}, null)").alias("cuts"))
+
+
+def unit_ids(units: pa.Array, n: np.ndarray, cuts: pa.Array, m: Model, short: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the units one after another, the number of each) from their cuts."""
+    offsets, flat = cuts.offsets.to_numpy(), cuts.flatten().to_numpy().view(U)
+    offsets = offsets - offsets[0]
+    whole = np.cumsum(n) - n  # the first symbol of each unit among all
+    if m.bpe:
+        width = np.where(n <= short, SHORT + 1, m.word)
+        of = np.repeat(np.arange(len(n)), np.diff(offsets))
+        base = (np.arange(len(flat)) - offsets[:-1][of]) * width[of]
+        bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        row, bit = np.nonzero(bits)
+        end, unit = base[row] + bit, of[row]
+        ok = (end > 0) & (end <= n[unit]) & (bit < width[unit])
+        end, unit = end[ok], unit[ok]
+    else:
+        ends, owner = [], []
+        for u, size in enumerate(n.tolist()):
+            back, e, got = flat[offsets[u] : offsets[u + 1]].astype(np.int64), size, []
+            while e:
+                got.append(e)
+                e = int(back[e])
+            ends += got[::-1]
+            owner += [u] * len(got)
+        end, unit = np.array(ends, np.int64), np.array(owner, np.int64)
+    start = np.concatenate(([0], end[:-1]))
+    start[np.concatenate(([True], unit[1:] != unit[:-1]))[: len(unit)]] = 0
+    buf = np.frombuffer(b"".join(x.encode() for x in units.to_pylist()), np.uint8)
+    symbol = np.concatenate((np.flatnonzero((buf & 0xC0) != 0x80), [len(buf)]))
+    a, b = symbol[whole[unit] + start], symbol[whole[unit] + end]
+    h = span_hash(prefix_hash(buf), a, b)
+    at = np.minimum(np.searchsorted(m.hashes, h), max(0, len(m.hashes) - 1))
+    known = m.hashes[at] == h if len(m.hashes) else np.zeros(len(h), bool)
+    many = np.where(known | (not m.bytes), 1, b - a)
+    out = np.repeat(np.where(known, m.hash_ids[at] if len(m.hashes) else m.unknown, m.unknown), many)
+    if m.bytes and not known.all():
+        lost = ~known
+        raw, _ = gathered(buf, a[lost], (b - a)[lost], np.arange(int(lost.sum())))
+        out[np.repeat(lost, many)] = m.by_byte[raw]
+    return out.astype(np.int32), np.bincount(unit, many, len(n)).astype(np.int64)
+
+
+def encode(docs: DataFrame, model: Model | None = None, *, id_col="doc_id", text_col="text", seen: int = SEEN, short: int = SHORT) -> DataFrame:
     """Per row of docs: doc_id, ids (array<int>), n_tokens, round_trip (whether decoding gives the
     text back).
 
     Null and empty texts have no tokens. Text is taken as it is (identity normalisation, a dummy
     white space in front). A text that holds the white space mark itself decodes to a blank there,
     so its round trip fails; so do unknown symbols of models without byte pieces. Repeated rows are
-    encoded each."""
+    encoded each. Units of any length go through the lattice; the fold's time grows with the square
+    of a unit's length beyond ``short`` symbols."""
     spark = docs.sparkSession
     model = model or load_model()
     shared = spark.sparkContext.broadcast(model)  # the piece table
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    units = vocabulary(d.select("text"), shared)
-    cuts = written(lattice_cuts(units, model), "units")
-    known = hot_units(cuts, hot)
-    table = known.select("key", "cuts").toArrow()
-    keys, masks = table["key"].to_numpy(), table["cuts"].to_numpy()
-    order = np.argsort(keys)
-    whole = len(keys) == cuts.count()
-    held = spark.sparkContext.broadcast((keys[order], masks[order]))  # at most ``hot`` pairs of 8 bytes
-    if not whole:
-        d = d.withColumn("h", F.xxhash64("text"))
-        need = d.select("h", "text").mapInArrow(_missing(shared, held), "h long, key long").distinct()
-        got = need.join(cuts.select("key", "cuts"), "key").groupBy("h").agg(F.collect_list(F.struct("key", "cuts")).alias("extra"))
-        d = d.join(got.hint("shuffle_hash"), "h", "left").drop("h")
-    else:
-        d = d.withColumn("extra", F.lit(None).cast("array<struct<key:long,cuts:long>>"))
     kind = dict(d.dtypes)["doc_id"]
-    return d.select("doc_id", "text", "extra").mapInArrow(_encoder(shared, held), f"doc_id {kind}, ids array<int>, n_tokens long, round_trip boolean")
+    rows = d.mapInArrow(*task_units(shared, seen, kind))
+    items = edges_of(rows, model).mapInArrow(*grouped(shared, kind, short))
+    done = folded(items, model, short, model.bpe and model.in_order())
+    return done.mapInArrow(_encoder(shared, short), f"doc_id {kind}, ids array<int>, n_tokens long, round_trip boolean")
 
 
-def _missing(shared, held):
-    """(h, key): units that are not in the broadcast table, with the hash of their text."""
-
+def _encoder(shared, short: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, (keys, _) = shared.value, held.value
+        m = shared.value
+        nothing = (np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))
+        keys, start, count, flat = nothing  # sorted keys; where the ids of each stand, and how many
+        fresh: list[tuple] = []
         for batch in batches:
-            h = batch["h"].to_numpy()
-            for a, b, buf, off in text_chunks(batch["text"]):
-                s, e, key, first = cut_units(buf, off, m)
-                k = key.view(np.int64)
-                at = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
-                out = (keys[at] != k) if len(keys) else np.ones(len(k), bool)
-                doc = np.repeat(np.arange(b - a), np.diff(first))
-                yield pa.RecordBatch.from_arrays([pa.array(h[a:b][doc[out]]), pa.array(k[out])], ["h", "key"])
-
-    return run
-
-
-def _encoder(shared, held):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, (keys, masks) = shared.value, held.value
-        for batch in batches:
-            extra = batch["extra"]
-            for a, b, buf, off in text_chunks(batch["text"]):
-                s, e, key, first = cut_units(buf, off, m)
-                more: dict[int, int] = {}
-                for i in range(a, b):
-                    if extra[i].is_valid:
-                        more.update((x["key"], x["cuts"]) for x in extra[i].as_py())
-                k, lead_at, back = np.unique(key.view(np.int64), return_index=True, return_inverse=True)
-                at = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
-                hit = keys[at] == k if len(keys) else np.zeros(len(k), bool)
-                is_lead = np.zeros(len(s), bool)
-                is_lead[first[:-1][off[1:] > off[:-1]]] = True
-                raw, got = buf.tobytes(), []
-                for x, i, j, f, ok, p in zip(k.tolist(), s[lead_at].tolist(), e[lead_at].tolist(), is_lead[lead_at].tolist(), hit.tolist(), at.tolist(), strict=True):
-                    unit = unit_text(raw[i:j], f)
-                    mask = int(masks[p]) if ok else more.get(x)
-                    got.append(m.symbols(unit, ends_of(mask) if mask is not None else fold_long(unit, m)))
-                count = np.array([len(x) for x in got], np.int64)
-                flat = np.fromiter((y for x in got for y in x), np.int32, int(count.sum()))
-                ids, per = gathered(flat, np.cumsum(count) - count, count, back)
-                tokens = np.concatenate(([0], np.cumsum(per)))[first]
-                same = decoded_equal(ids, tokens, buf, off, m)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"][a:b], pa.ListArray.from_arrays(pa.array(tokens.astype(np.int32)), pa.array(ids)), pa.array(np.diff(tokens)), pa.array(same)], ["doc_id", "ids", "n_tokens", "round_trip"])
+            what = batch["what"].to_numpy()
+            edge = np.concatenate(([0], np.flatnonzero(what[1:] != what[:-1]) + 1, [len(what)]))
+            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                part = batch.slice(i, j - i)
+                if what[i] == 2:
+                    keys, start, count, flat = nothing
+                    fresh = []
+                elif what[i] == 0:
+                    got, many = unit_ids(part["unit"], part["n"].to_numpy().astype(np.int64), part["cuts"], m, short)
+                    fresh.append((part["key"].to_numpy().view(U), many, got))
+                else:
+                    if fresh:
+                        more = np.concatenate([x[1] for x in fresh])
+                        start = np.concatenate([start, len(flat) + np.cumsum(more) - more])
+                        keys, count, flat = np.concatenate([keys, *(x[0] for x in fresh)]), np.concatenate([count, more]), np.concatenate([flat, *(x[2] for x in fresh)])
+                        order = np.argsort(keys, kind="stable")
+                        keys, start, count, fresh = keys[order], start[order], count[order], []
+                    for a, b, buf, off in text_chunks(part["text"]):
+                        padded, at = with_blank(buf, off)
+                        _, _, key, first = cut_units(padded, at, m)
+                        place = np.searchsorted(keys, key)
+                        if len(key) and (keys[np.minimum(place, len(keys) - 1)] != key).any():
+                            raise RuntimeError("a unit came behind its text")
+                        ids, per = gathered(flat, start, count, place)
+                        tokens = np.concatenate(([0], np.cumsum(per)))[first]
+                        same = decoded_equal(ids, tokens, buf, off, m)
+                        yield pa.RecordBatch.from_arrays([part["doc_id"][a:b], pa.ListArray.from_arrays(pa.array(tokens.astype(np.int32)), pa.array(ids)), pa.array(np.diff(tokens)), pa.array(same)], ["doc_id", "ids", "n_tokens", "round_trip"])
 
     return run
 

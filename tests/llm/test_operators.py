@@ -67,20 +67,47 @@ def test_repeats_match_brute_force(docs):
     assert got == want
 
 
-@pytest.mark.parametrize("hot", [1 << 22, 20])
-def test_pieces_match_the_library_and_round_trip(docs, hot):
+@pytest.mark.parametrize("options", [{}, {"seen": 20}, {"short": 3}])
+def test_pieces_match_the_library_and_round_trip(docs, options):
     from sentencepiece import SentencePieceProcessor
 
     sp = SentencePieceProcessor(model_file=pieces.MODEL)
     more = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame([(900, "  a\n b\tc  "), (901, "x" * 300), (902, "1.234, «ok» …")], "doc_id long, text string"))
-    rows = more.join(pieces.encode(more, hot=hot), "doc_id").collect()
+    rows = more.join(pieces.encode(more, **options), "doc_id").collect()
     assert len(rows) == more.count()
     assert all(r["ids"] == sp.encode(r["text"] or "") and r["round_trip"] for r in rows)
 
 
-def test_unigram_fold_is_the_best_path():
-    m = pieces.Model(["<unk>", "▁", "a", "b", "ab", "▁a", "ba"], [0, -3.0, -2.0, -2.0, -2.5, -2.2, -2.4], [2, 1, 1, 1, 1, 1, 1], bpe=False)
-    assert pieces.fold_long("▁aba", m) == [2, 4]
+def _cheapest(unit, m):
+    """By brute force: the least cost of any way to cut the unit, a symbol that is no piece last."""
+    low = max(m.rank.values()) + 10
+    best = [0.0] + [float("inf")] * len(unit)
+    for e in range(1, len(unit) + 1):
+        best[e] = min(best[s] + (m.rank.get(unit[s:e], low) if e - s == 1 else m.rank.get(unit[s:e], float("inf"))) for s in range(e))
+    return best[-1]
+
+
+def test_the_spark_viterbi_finds_the_best_path(spark):
+    m = pieces.Model(["<unk>", "▁", "a", "b", "ab", "▁a", "ba", "bab"], [0, -3.0, -2.0, -2.1, -2.5, -2.2, -2.45, -3.3], [2, 1, 1, 1, 1, 1, 1, 1], bpe=False)
+    r = random.Random(8)
+    rows = [(i, "".join(r.choices("ab z", [4, 4, 1, 1], k=r.randrange(0, 90)))) for i in range(60)]
+    got = pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), m).collect()
+    low = max(m.rank.values()) + 10
+    for x in got:
+        text = rows[x["doc_id"]][1]
+        whole = ("▁" + text.replace(" ", "▁")) if text else ""
+        assert sum(low if i == 0 else -m.scores[i] for i in x["ids"]) == pytest.approx(_cheapest(whole, m))
+        assert "".join("?" if i == 0 else m.pieces[i] for i in x["ids"]) == whole.replace("z", "?")
+
+
+@pytest.mark.parametrize("short", [62, 4])
+def test_merges_that_are_not_in_order_of_rank(spark, short):
+    # "abc" ranks before "bc", which makes it: one pass over the edges would miss it
+    m = pieces.Model(["<unk>", "a", "b", "c", "bc", "abc", "▁"], [0, -9, -9, -9, -5.0, -1.0, -9], [2, 1, 1, 1, 1, 1, 1])
+    assert not m.in_order()
+    rows = [(1, "abcabc abc cab" + "bc" * 20), (2, None), (3, "")]
+    got = {x["doc_id"]: x["ids"] for x in pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), m, short=short).collect()}
+    assert got == {1: [6, 5, 5, 6, 5, 6, 3, 1, 2, *[4] * 20], 2: [], 3: []}
 
 
 def test_mix_meets_its_targets(docs):
