@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from . import sql as F
+from .sql import Expr as Column
 
 # Public rules of the Italian tax code. Letters that stand for digits 0 to 9, and the
 # weights of 0-9 then A-Z in odd places; digits weigh as letters of the same number.
@@ -52,8 +52,17 @@ def iban_ok(value: Column) -> Column:
     return value.rlike("^IT[0-9]") | (iban_remainder(value) == 1)
 
 
-def public_mailbox(value: Column, first_names) -> Column:
+#: Mail domains of public administrations, and the words that a local one begins with.
+OFFICES = "agenziaentrate.it avvocaturastato.it corteconti.it ga-cert.it giustizia-amministrativa.it giustizia.it giustiziacert.it gov.it inail.it inps.it".split()
+LOCAL_OFFICES = ("comune", "provincia", "regione")
+
+
+def public_mailbox(value: Column, first_names, offices: list[str] = OFFICES) -> Column:
     """An office's mailbox: a public body's domain and no first name in front of it."""
-    office = value.rlike(r"(?iu)@(?:[\w\-]+\.)*(?:agenziaentrate|gov|inps|inail|giustizia|giustiziacert|ga-cert|giustizia-amministrativa|corteconti|avvocaturastato|(?:comune|provincia|regione)\.[\w\-]+)\.it$")
+    domain = F.lower(F.substring_index(value, "@", -1))
+    parts = F.split(domain, r"\.")
+    last = lambda n: F.array_join(F.slice(parts, F.greatest(F.size(parts) - n + 1, F.lit(1)), F.lit(n)), ".")
+    local = (F.element_at(parts, -1) == "it") & F.element_at(parts, -3).isin(*LOCAL_OFFICES)
+    office = last(2).isin(*offices) | F.when(F.size(parts) >= 3, local).otherwise(False)
     tokens = F.transform(F.regexp_extract_all(F.substring_index(value, "@", 1), F.lit(r"(\p{L}+)"), F.lit(1)), lambda t: F.lower(t))
-    return office & ~F.arrays_overlap(tokens, F.array(*map(F.lit, first_names)))
+    return office & ~F.exists(tokens, lambda t: t.isin(*first_names))

@@ -12,6 +12,31 @@ WIDTH, OVERLAP = 1400, 200
 ROLES = {"PER": "Nominativo", "PERSON": "Nominativo", "LAWYER": "Difensore", "AVV": "Difensore"}
 
 
+_ready: dict[str, Callable] = {}  # the models of a worker, the last KEPT of them
+KEPT = 4
+
+
+def cached(name: str, make: Callable[[], Callable]) -> Callable:
+    """The model of that name, made once in a worker process."""
+    if name not in _ready:
+        while len(_ready) >= KEPT:
+            _ready.pop(next(iter(_ready)))
+        _ready[name] = make()
+    return _ready[name]
+
+
+def available(models: dict[str, Callable[[], Callable]]) -> list[str]:
+    """The models that can be made here; what a missing library or file forbids is left out."""
+    found = []
+    for name, make in models.items():
+        try:
+            cached(name, make)
+        except (ImportError, OSError):
+            continue
+        found.append(name)
+    return found
+
+
 def windows(text: str, width: int = WIDTH, overlap: int = OVERLAP) -> Iterator[tuple[int, str]]:
     """Overlapping windows that end at white space of their second half where there is some."""
     at = 0
@@ -28,11 +53,11 @@ def windows(text: str, width: int = WIDTH, overlap: int = OVERLAP) -> Iterator[t
 
 def mentions(docs: DataFrame, models: dict[str, Callable[[], Callable[[list[str]], list[list[dict]]]]], threshold: float = 0.60) -> DataFrame:
     """doc_id, start, end, text, role, score, source of docs (doc_id, text). Each model is a factory
-    that is called once in a worker and then takes a batch of windows. Duplicates keep their best
+    that is called once in a worker process and then takes a batch of windows. Duplicates keep their best
     score; the union over models stands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready = {name: make() for name, make in models.items()}
+        ready = {name: cached(name, make) for name, make in models.items()}
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"].fillna(""), strict=True):

@@ -5,14 +5,42 @@ from __future__ import annotations
 import html
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions import sql as S
+from ..functions.sql import Expr
+
 INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad\ue000\ue001"
-TAGS = "a abbr article aside b blockquote body br code dd div dl dt em footer h1 h2 h3 h4 h5 h6 head header hr html i img li link main meta nav ol p pre s section small span strong style sub sup table tbody td th thead title tr u ul".split()
+#: The elements that are markup. Anything else between angle brackets is text: judges
+#: write quotations as <<…>>.
+ELEMENTS = "a b i u s em strong sup sub span font p div br hr li ul ol table thead tbody tr td th h1 h2 h3 h4 h5 h6 blockquote code pre img small big mark del ins".split()
+_BLANK = r"[ \t]"
+
+
+def _emphasis(mark: str, inner: str, edge: str = "") -> str:
+    """A run between two equal marks, which may not stand inside it."""
+    return (f"(?<!{edge})" if edge else "") + f"({mark})({inner}+?)" + r"\1" + (f"(?!{edge})" if edge else "")
+
+
+#: The native steps in their order: (name, pattern, replacement). The order is semantics.
+STEPS = [
+    ("pipe for l", r"(?<=\p{L})\|(?=\p{L})", "l"),
+    ("wrapped word", rf"(?md)^(?!{_BLANK}*[-–])(.*\p{{L}})-\n(?=\p{{Ll}})", "$1"),  # a line that opens with a dash marks a role
+    ("front matter", r"(?sd)\A(---|\+\+\+)\n.*?\n\1\n", ""),
+    ("comment", r"(?s)<!--.*?-->", ""),
+    ("element", rf"(?<!<)</?(?i:{'|'.join(ELEMENTS)})(?:\s[^<>\n]*)?/?>", ""),
+    ("image", r"!\[([^\]]*)\]\([^)]*\)", "$1"),
+    ("link", r"\[([^\]]+)\]\([^)]*\)", "$1"),
+    ("emphasis", _emphasis(r"\*\*|\*|`", "[^*`]"), "$2"),
+    ("underscores", _emphasis("__|_", "[^_]", r"[\p{L}\p{N}]"), "$2"),
+    ("heading", rf"(?md)^{_BLANK}*#{{1,6}}{_BLANK}+", ""),
+    ("quoted line", rf"(?md)^{_BLANK}*>{_BLANK}?", ""),
+]
 
 
 @F.pandas_udf(StringType())
@@ -28,18 +56,7 @@ def fold_quotes(text: Column) -> Column:
 
 def strip_markup(text: Column) -> Column:
     """The native steps, after ``compatible``."""
-    t = F.translate(text, INVISIBLE, "")
-    t = F.regexp_replace(t, r"(?<=\p{L})\|(?=\p{L})", "l")
-    t = F.regexp_replace(t, r"(?md)^(?![ \t]*[-–—])(.*\p{L})-[ \t]*\n[ \t]*(?=\p{Ll})", "$1")
-    t = F.regexp_replace(t, r"(?sd)\A(---|\+\+\+)[ \t]*\n.*?\n\1[ \t]*(?:\n|\z)", "")
-    t = F.regexp_replace(t, r"(?s)<!--.*?-->", "")
-    t = F.regexp_replace(t, rf"(?i)(?<!<)</?(?:{'|'.join(TAGS)})(?:\s[^<>\n]*)?/?>", "")
-    t = F.regexp_replace(t, r"!\[([^\]\n]*)\]\([^)\n]*\)", "$1")
-    t = F.regexp_replace(t, r"\[([^\]\n]+)\]\([^)\n]*\)", "$1")
-    t = F.regexp_replace(t, r"(\*{1,3}|`{1,3})(?=\S)([^*`\n]+?)(?<=\S)\1", "$2")
-    t = F.regexp_replace(t, r"(?U)(?<!\w)(_{1,3})(?=\S)([^_\n]+?)(?<=\S)\1(?!\w)", "$2")
-    t = F.regexp_replace(t, r"(?md)^[ \t]{0,3}#{1,6}[ \t]+", "")
-    return F.regexp_replace(t, r"(?md)^[ \t]{0,3}>[ \t]?", "")
+    return reduce(lambda t, s: F.regexp_replace(t, s[1], s[2]), STEPS, F.translate(text, INVISIBLE, ""))
 
 
 def normalized(docs: DataFrame, text_col: str = "text", sanitize: bool = True) -> DataFrame:
@@ -51,13 +68,13 @@ def normalized(docs: DataFrame, text_col: str = "text", sanitize: bool = True) -
     return docs.withColumn(text_col, F.translate(fold_quotes(text), "\ue000\ue001", ""))
 
 
-def place_key(name: Column) -> Column:
+def place_key(name: Expr) -> Expr:
     """Lower case without Italian accents, single blanks, no final apostrophe."""
-    flat = F.translate(F.lower(name), "àáâäèéêëìíîïòóôöùúûü", "aaaaeeeeiiiioooouuuu")
-    return F.regexp_replace(F.trim(F.regexp_replace(flat, r"\s+", " ")), "['’]$", "")
+    flat = S.translate(S.lower(name), "àáâäèéêëìíîïòóôöùúûü", "aaaaeeeeiiiioooouuuu")
+    return S.regexp_replace(S.trim(S.regexp_replace(flat, r"\s+", " ")), "['’]$", "")
 
 
-def initials_key(text: Column) -> Column:
+def initials_key(text: Expr) -> Expr:
     """'a. b.' and 'A.B.' alike as 'A.B.'."""
-    letters = F.regexp_extract_all(F.upper(text), F.lit(r"(\p{L})"), F.lit(1))
-    return F.concat(F.array_join(letters, "."), F.lit("."))
+    letters = S.regexp_extract_all(S.upper(text), r"(\p{L})", 1)
+    return S.concat(S.array_join(letters, "."), ".")

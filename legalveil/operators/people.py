@@ -3,18 +3,20 @@ the spans that each identity proposes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+from ..functions import sql as F
+from ..functions.sql import Expr as Column
 from ..config import Config
 from ..functions.lexicons import Lexicons
 from ..functions.spans import after, before, find, quoted
 from . import rules as R
-from .detect import CANDIDATE, FULL_NAME, RANK, TOKEN, candidates, name_key, rare_tokens, words
+from .detect import CANDIDATE, FIELDS, FULL_NAME, TOKEN, Doc, candidates, judge_key, listed, named_place, rare_tokens
 
-NEUTRAL = ["regex:titolo", "regex:titolo_solo", "lexicon:first_name"]
-BROAD = ["regex:cf_adiacente", "regex:counsel", "regex:difeso_da", "regex:biografico", "regex:party_role", "regex:qualifica", "regex:proposto_da", "regex:nei_confronti", "regex:party_list", "regex:counsel_list", "regex:counsel_surname", "regex:legal_party_block"]
-STRICT = [s for s in BROAD if s != "regex:legal_party_block"] + ["user"]
+#: What judges have too, what speaks for a private person, and what does so against a judge's role.
+NEUTRAL = [r.source for r in R.SEEDS if r.kind == "neutral"] + ["lexicon:first_name"]
+STRICT = [r.source for r in R.SEEDS if r.kind == "strong"] + sorted({r.source for r in R.LISTS}) + ["user"]
+BROAD = STRICT[:-1] + ["regex:legal_party_block"]
+PERSON = ["key", "display", "role", "variants", "sources", "seq"]
 LIMIT = r"(?<![\p{L}\p{N}])"
 END = r"(?![\p{L}\p{N}])"
 
@@ -45,39 +47,51 @@ def with_parent(people: Column) -> Column:
         nearest = F.filter(hosts, lambda q: F.size(q["key"]) == least)
         return F.when(F.size(nearest) == 1, F.get(nearest, F.lit(0))["key"])
 
-    return F.transform(people, lambda p: p.withField("parent", parent(p)))
+    return F.transform(people, lambda p: F.replaced(p, PERSON, parent=parent(p)))
 
 
 def folded(parented: Column) -> Column:
-    """Hosts with the variants of all that fold into them; names have at most four tokens, so three
-    steps reach the host. Sources and role stay the host's."""
-    up = lambda k: F.get(F.filter(parented, lambda q: q["key"] == k), F.lit(0))["parent"]
+    """Hosts with the variants of all that fold into them; sources and role stay the host's. Each
+    step doubles the way a person looks up, so names of up to sixteen tokens reach their host."""
+    up = F.transform(parented, lambda p: F.struct(p["key"].alias("key"), F.coalesce(p["parent"], p["key"]).alias("root")))
+    for _ in range(4):
+        up = F.bound(up, "array<struct<key:array<string>,root:array<string>>>", lambda u: F.transform(u, lambda p: F.struct(p["key"].alias("key"), F.get(F.filter(u, lambda q: q["key"] == p["root"]), F.lit(0))["root"].alias("root"))))
 
-    def root(p: Column) -> Column:
-        one = F.coalesce(p["parent"], p["key"])
-        two = F.coalesce(up(one), one)
-        return F.coalesce(up(two), two)
+    def with_guests(rooted: Column) -> Column:
+        guests = lambda p: F.filter(rooted, lambda r: (r["root"] == p["key"]) & (r["key"] != p["key"]))
+        variants = lambda p: F.flatten(F.transform(guests(p), lambda r: F.get(F.filter(parented, lambda q: q["key"] == r["key"]), F.lit(0))["variants"]))
+        hosts = F.filter(parented, lambda p: p["parent"].isNull())
+        return F.transform(hosts, lambda p: F.replaced(p, PERSON, variants=F.array_distinct(F.concat(p["variants"], variants(p)))))
 
-    rooted = F.transform(parented, lambda p: F.struct(p["variants"].alias("variants"), root(p).alias("root")))
-    hosts = F.filter(parented, lambda p: p["parent"].isNull())
-    return F.transform(hosts, lambda p: p.withField("variants", F.array_distinct(F.concat(p["variants"], F.flatten(F.transform(F.filter(rooted, lambda r: r["root"] == p["key"]), lambda r: r["variants"]))))).dropFields("parent"))
+    kind = "array<struct<key:array<string>,display:string,role:string,variants:array<string>,sources:array<string>,seq:bigint>>"
+    return F.bound(up, kind, with_guests)
 
 
 def judge_keys(protections: Column) -> Column:
-    return F.array_distinct(F.transform(F.filter(protections, lambda x: x["protection"] == "judge"), lambda x: F.array_join(name_key(x["text"]), " ")))
+    return F.array_distinct(F.transform(F.filter(protections, lambda x: x["protection"] == "judge"), lambda x: judge_key(x["text"])))
 
 
 def conflicts(people: Column, judges: Column, sources: list[str] = STRICT) -> Column:
     """Keys of judges that are private persons too, by their sources."""
-    private = F.filter(people, lambda p: F.arrays_overlap(p["sources"], words(sources)))
+    private = F.filter(people, lambda p: F.exists(p["sources"], lambda x: listed(x, sources)))
     return F.array_intersect(F.transform(private, lambda p: F.array_join(p["key"], " ")), judges)
 
 
+def role_conflicts(people: Column, judges: Column) -> Column:
+    """A warning for each person who is a judge and a private party."""
+    both = F.filter(people, lambda p: F.array_contains(judges, F.array_join(p["key"], " ")) & F.exists(p["sources"], lambda x: listed(x, BROAD)))
+    return F.array_distinct(F.transform(both, lambda p: F.concat(F.lit("both a judge and a private party: '"), p["display"], F.lit("'"))))
+
+
+def renumbered(seeds: Column) -> Column:
+    return F.transform(seeds, lambda s, i: F.replaced(s, ["surface", "key", "role", "rank", "source"], seq=i.cast("bigint")))
+
+
 def without_judges(people: Column, judges: Column, keep_judges: bool) -> Column:
     """People without those that only a title or a first name speaks for, where a judge has the name."""
     if not keep_judges:
         return people
-    return F.filter(people, lambda p: ~((F.size(F.array_except(p["sources"], words(NEUTRAL))) == 0) & F.array_contains(judges, F.array_join(p["key"], " "))))
+    return F.filter(people, lambda p: ~(~F.exists(p["sources"], lambda x: ~listed(x, NEUTRAL)) & F.array_contains(judges, F.array_join(p["key"], " "))))
 
 
 def name_orders(value: Column) -> Column:
@@ -100,7 +114,7 @@ def alternatives(values: Column) -> Column:
 
 
 def _numbered(spans: Column) -> Column:
-    return F.transform(spans, lambda x, i: x.withField("seq", x["seq"] + i))
+    return F.transform(spans, lambda x, i: F.replaced(x, FIELDS, seq=x["seq"] + i))
 
 
 def person_candidates(text: Column, people: Column, ambiguous: Column, cfg: Config, lexicons: Lexicons) -> Column:
@@ -125,24 +139,32 @@ def ambiguous_candidates(text: Column, ambiguous: Column) -> Column:
     return _numbered(F.flatten(F.transform(ambiguous, one)))
 
 
-def given_candidates(text: Column, people: Column, cfg: Config, lexicons: Lexicons) -> Column:
-    """The listed first name alone of exactly one person, in its usual case forms, where nothing
-    beside it makes it part of another name."""
+def given_candidates(d: Doc, people: Column, cfg: Config, lexicons: Lexicons) -> Column:
+    """The listed first name alone of exactly one person, where it is no distinctive token: in its
+    usual case forms and as the person's variants spell it, where nothing beside it makes it part of
+    another name or of a place's."""
     if not cfg.first_names:
         return F.array().cast(f"array<{CANDIDATE}>")
-    listed = lambda t: F.array_contains(words(lexicons.first_names), F.lower(t))
-    owned = F.flatten(F.transform(people, lambda p: F.transform(F.array_distinct(F.transform(F.filter(F.split(p["display"], r"\s+"), listed), lambda t: F.lower(t))), lambda t: F.struct(t.alias("t"), p["display"].alias("display"), p["role"].alias("role"), p["sources"].alias("sources")))))
-    unique = F.filter(owned, lambda o: F.size(F.filter(owned, lambda q: q["t"] == o["t"])) == 1)
+
+    def own(p: Column) -> Column:
+        rare = F.transform(rare_tokens(p["display"], lexicons, cfg.min_token_len), lambda t: F.lower(t))
+        plain = F.filter(F.array_distinct(F.transform(F.split(p["display"], r"\s+"), lambda t: F.lower(t))), lambda t: listed(t, lexicons.first_names) & ~F.array_contains(rare, t))
+        spelled = lambda t: F.filter(F.flatten(F.transform(p["variants"], lambda v: F.split(v, r"\s+"))), lambda w: F.lower(w) == t)
+        return F.transform(plain, lambda t: F.struct(t.alias("t"), p["display"].alias("display"), p["role"].alias("role"), p["sources"].alias("sources"), spelled(t).alias("spelled")))
 
     def alone(x: Column) -> Column:
-        left, right = before(text, x["start"], 40), after(text, x["end"], 40)
-        greeted = left.rlike(r"(?<!\p{L})(?iu:car[oa]|carissim[oa]|gentil(?:e|issim[oa])|ciao|dear|hi)[^\S\n]+$")
-        named = left.rlike(rf"{R.NAME}{R.GAP}$") | right.rlike(rf"^{R.GAP}{R.NAME}")
-        place = left.rlike(rf"(?:{R.STREET_WORD}|(?iu:\bsant?[oai']?)){R.GAP}$")
-        return ~place & (greeted | ~named)
+        left, right = before(d.text, x["start"], 40), after(d.text, x["end"], 40)
+        greeted = left.rlike(rf"{R.GREETING}$")
+        return ~named_place(d, x) & ~right.rlike(rf"^{R.GAP}{R.NAME}") & (greeted | ~left.rlike(rf"{R.NAME}{R.GAP}$"))
 
     def propose(o: Column) -> Column:
-        forms = F.concat(F.lit("(?:"), F.concat(F.upper(F.substring(o["t"], 1, 1)), F.substring(o["t"], F.lit(2), F.length(o["t"]))), F.lit("|"), F.upper(o["t"]), F.lit(")" + END))
-        return candidates(F.filter(find(text, forms, LIMIT), alone), "given", kind="PERSON", source=lambda x: F.concat(F.array_join(o["sources"], "+"), F.lit("+given_name")), priority=TOKEN, reason="given name of one detected person", role=lambda x: o["role"], label=lambda x: o["role"], value=lambda x: o["display"])
+        forms = F.array_distinct(F.concat(F.array(F.concat(F.upper(F.substring(o["t"], 1, 1)), F.substring(o["t"], F.lit(2), F.length(o["t"]))), F.upper(o["t"])), o["spelled"]))
+        hits = F.filter(find(d.text, F.concat(alternatives(forms), F.lit("(?!['’])")), LIMIT + "(?<!['’])"), alone)
+        return candidates(hits, "given", kind="PERSON", source=lambda x: F.concat(F.array_join(o["sources"], "+"), F.lit("+given_name")), priority=TOKEN, reason="given name of one detected person", role=lambda x: o["role"], label=lambda x: o["role"], value=lambda x: o["display"])
+
+    def unique(owned: Column) -> Column:
+        return F.array_sort(F.filter(owned, lambda o: F.size(F.filter(owned, lambda q: q["t"] == o["t"])) == 1))
 
-    return _numbered(F.flatten(F.transform(unique, propose)))
+    kind = "array<struct<t:string,display:string,role:string,sources:array<string>,spelled:array<string>>>"
+    once_ = F.bound(F.flatten(F.transform(people, own)), kind, unique)
+    return _numbered(F.flatten(F.transform(once_, propose)))

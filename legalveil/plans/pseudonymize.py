@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config, resolved
+from ..functions import sql as S
 from ..functions.lexicons import Lexicons
-from ..functions.once import step
+from ..functions.once import Steps
 from ..operators import detect, edits, people, resolve, verify
 from ..operators.normalize import normalized
 
@@ -24,59 +25,87 @@ def analyze(docs: DataFrame, config: Config | None = None, *, id_col="doc_id", t
     """doc_id, text (normalised), protections, people, candidates, decisions, mapping, entities,
     expected_aliases, warnings: one row per document. Null texts are empty."""
     cfg, lex = resolved(config, overrides), lexicons or Lexicons()
-    d = normalized(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), sanitize=cfg.sanitize)
-    if edits_table is not None:
+    d = normalized(spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))), sanitize=cfg.sanitize)
+    edited = edits_table is not None
+    if edited:
         have = [c for c in edits.COLUMNS if c in edits_table.columns]
         e = edits_table.select("doc_id", *[F.col(c).cast(edits.COLUMNS[c]).alias(c) for c in have], *[F.lit(None).cast(t).alias(c) for c, t in edits.COLUMNS.items() if c not in have])
         d = d.join(e, "doc_id", "left")
     if mentions is not None:
-        m = mentions.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "text", "role", "source"))).alias("mentions"))
+        m = mentions.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "role", "source"))).alias("mentions"))
         d = d.join(m, "doc_id", "left")
-    text = F.col("text")
-    d = step(step(d, "protections", detect.protections(text)), "seeds", detect.seeds(text, cfg, lex))
+    d = Steps(d)
+    d.add("low", S.lower("text"))
+    own = detect.Doc(S.col("text"), S.col("low"))
+    text = own.text
+    d.add("protections", detect.protections(own))
+    d.add("seeds", detect.seeds(own, cfg, lex))
     if mentions is not None:
-        some = F.coalesce(F.col("mentions"), F.array().cast("array<struct<start:int,text:string,role:string,source:string>>"))
-        d = step(d, "seeds", F.concat("seeds", edits.mention_seeds(some, F.size("seeds"))))
-    if edits_table is not None:
-        d = step(d, "seeds", F.concat("seeds", edits.user_seeds(F.size("seeds"))))
-    d = step(d, "people", people.merged(F.col("seeds")))
-    d = step(d, "people", people.with_parent(F.col("people")))
-    d = step(d, "people", people.folded(F.col("people")))
-    d = step(d, "judges", people.judge_keys(F.col("protections")))
-    d = step(d, "people", people.without_judges(F.col("people"), F.col("judges"), cfg.keep_judges))
-    d = step(d, "conflicts", people.conflicts(F.col("people"), F.col("judges")))
-    d = step(d, "clash", people.conflicts(F.col("people"), F.col("judges"), people.BROAD))
-    d = step(d, "ambiguous", people.ambiguous_tokens(F.col("people"), lex, cfg.min_token_len))
-    p, a = F.col("people"), F.col("ambiguous")
-    d = step(d, "candidates", F.concat(
-        detect.protected(F.col("protections"), F.col("conflicts"), cfg), people.person_candidates(text, p, a, cfg, lex), people.ambiguous_candidates(text, a),
-        people.given_candidates(text, p, cfg, lex), detect.initials(text, cfg, lex), detect.structured(text, lex), detect.addresses(text), detect.places(text, lex), detect.companies(text, cfg)))
-    if edits_table is not None:
-        d = step(d, "candidates", edits.edited(text, F.col("candidates")))
-    d = step(d, "decisions", resolve.resolved(F.col("candidates")))
-    prior, fixed = (F.col("prior_tags"), F.col("placeholders")) if edits_table is not None else (None, None)
-    d = step(d, "decisions", resolve.tagged(F.col("decisions"), cfg.roles, prior, fixed))
-    d = step(d, "warnings", F.transform("clash", lambda k: F.concat(F.lit("role conflict: '"), k, F.lit("' is both a judge and a private party"))))
-    d = step(step(d, "mapping", resolve.mapping(F.col("decisions"))), "entities", resolve.records(F.col("decisions")))
-    d = step(d, "expected_aliases", verify.expected_aliases(p, F.col("decisions"), lex, cfg.min_token_len))
+        some = S.coalesce(S.col("mentions"), S.array().cast("array<struct<start:int,end:int,role:string,source:string>>"))
+        d.add("seeds", people.renumbered(S.concat(S.col("seeds"), detect.mention_seeds(own, some, lex, cfg.min_token_len))))
+    if edited:
+        d.add("seeds", S.concat(S.col("seeds"), edits.user_seeds(S.size("seeds"))))
+    d.add("people", people.merged(S.col("seeds")))
+    d.add("people", people.with_parent(S.col("people")))
+    d.add("people", people.folded(S.col("people")))
+    d.add("judges", people.judge_keys(S.col("protections")))
+    d.add("people", people.without_judges(S.col("people"), S.col("judges"), cfg.keep_judges))
+    d.add("conflicts", people.conflicts(S.col("people"), S.col("judges")))
+    d.add("ambiguous", people.ambiguous_tokens(S.col("people"), lex, cfg.min_token_len))
+    p, a = S.col("people"), S.col("ambiguous")
+    d.add("candidates", S.concat(
+        detect.protected(S.col("protections"), S.col("conflicts"), cfg), people.person_candidates(text, p, a, cfg, lex), people.ambiguous_candidates(text, a),
+        people.given_candidates(own, p, cfg, lex), detect.initials(own, cfg, lex), detect.structured(own, lex), detect.addresses(own), detect.places(own, lex), detect.companies(own, cfg)))
+    merges = S.array().cast("array<struct<a:string,b:string>>")
+    if edited:
+        d.add("edited", edits.edited(text, S.col("candidates")))
+        d.add("candidates", S.col("edited.pool"))
+        d.add("custom", S.col("edited.custom"))
+        merges = S.col("edited.merges")
+    d.add("decisions", resolve.resolved(S.col("candidates")))
+    resolve.tagged(d, cfg.roles, edited)
+    d.add("warnings", people.role_conflicts(p, S.col("judges")))
+    d.add("mapping", resolve.mapping(S.col("decisions")))
+    d.add("entities", resolve.records(S.col("decisions")))
+    d.add("expected_aliases", verify.expected_aliases(p, S.col("decisions"), merges, lex, cfg.min_token_len))
     return d.select("doc_id", "text", "protections", "people", "candidates", "decisions", "mapping", "entities", "expected_aliases", "warnings")
 
 
+SMALL = 16 << 20  # bytes a core, below which the input is spread
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over all cores where the plan's size is known to be small: one small file is one task, and
+    the work for a document is a thousand times that of moving it. Larger inputs and streams stay as
+    their files are split."""
+    if docs.isStreaming:
+        return docs
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(4 * cores) if size < cores * SMALL else docs
+
+
 def render(analysis: DataFrame, config: Config | None = None, *, lexicons: Lexicons | None = None, **overrides) -> DataFrame:
-    """Reports: doc_id, output, mapping, protected, replacements, risk, status, warnings, residuals,
+    """Reports: doc_id, output, mapping, protected, replacements, replacement_spans, risk, status, warnings, residuals,
     entities, decisions, schema_version."""
     cfg, lex = resolved(config, overrides), lexicons or Lexicons()
-    d = step(analysis, "output", resolve.rendered(F.col("text"), F.col("decisions")))
-    d = step(d, "replacements", F.size(F.filter("decisions", lambda x: x["replacement"].isNotNull())))
-    d = step(d, "protected", F.array_sort(F.array_distinct(F.transform(F.filter("decisions", lambda x: x["kind"] == "JUDGE"), lambda x: x["text"]))))
+    d = Steps(analysis)
+    d.add("output", resolve.rendered(S.col("text"), S.col("decisions")))
+    d.add("replacement_spans", S.transform(S.filter("decisions", lambda x: x["replacement"].isNotNull()), lambda x: S.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    d.add("replacements", S.size("replacement_spans"))
+    d.add("protected", S.array_sort(S.array_distinct(S.transform(S.filter("decisions", lambda x: x["kind"] == "JUDGE"), lambda x: x["text"]))))
     if cfg.verify:
-        kept = F.filter(resolve.output_spans(F.col("decisions")), lambda k: k["protection"].isNotNull() & (k["protection"] != "user"))
-        d = step(d, "residuals", verify.residuals(F.col("output"), kept, F.col("expected_aliases"), F.col("replacements"), lex))
-        d = step(step(d, "status", verify.status(F.col("residuals"), F.col("warnings"))), "risk", verify.risk(F.col("residuals"), F.col("warnings")))
+        d.add("kept", S.filter(resolve.output_spans(S.col("decisions")), lambda k: k["protection"].isNotNull() & (k["protection"] != "user")))
+        d.add("low", S.lower("output"))
+        d.add("residuals", verify.residuals(detect.Doc(S.col("output"), S.col("low")), S.col("kept"), S.col("expected_aliases"), S.col("replacements"), lex))
+        d.add("status", verify.status(S.col("residuals"), S.col("warnings")))
+        d.add("risk", verify.risk(S.col("residuals"), S.col("warnings")))
     else:
-        d = d.withColumn("residuals", F.array().cast("array<struct<start:int,end:int,text:string,kind:string,source:string,reason:string>>"))
-        d = d.withColumn("status", F.lit("not_run")).withColumn("risk", F.lit(0.0))
-    return d.select("doc_id", "output", "mapping", "protected", "replacements", "risk", "status", "warnings", "residuals", "entities", "decisions", F.lit(SCHEMA_VERSION).alias("schema_version"))
+        d.add("residuals", S.array().cast(verify.FINDING))
+        d.add("status", S.lit("not_run"))
+        d.add("risk", S.when(S.size("warnings") > 0, 0.5).otherwise(0.0))
+    d.add("schema_version", S.lit(SCHEMA_VERSION))
+    return d.select("doc_id", "output", "mapping", "protected", "replacements", "replacement_spans", "risk", "status", "warnings", "residuals", "entities", "decisions", "schema_version")
 
 
 def pseudonymize(docs: DataFrame, config: Config | None = None, *, id_col="doc_id", text_col="text", **options) -> DataFrame:
