@@ -51,7 +51,7 @@ def windows(text: str, width: int = WIDTH, overlap: int = OVERLAP) -> Iterator[t
         at = max(end - overlap, at + 1)
 
 
-def mentions(docs: DataFrame, models: dict[str, Callable[[], Callable[[list[str]], list[list[dict]]]]], threshold: float = 0.60) -> DataFrame:
+def mentions(docs: DataFrame, models: dict[str, Callable[[], Callable[[list[str]], list[list[dict]]]]], threshold: float = 0.60, width: int = WIDTH) -> DataFrame:
     """doc_id, start, end, text, role, score, source of docs (doc_id, text). Each model is a factory
     that is called once in a worker process and then takes a batch of windows. Duplicates keep their best
     score; the union over models stands."""
@@ -61,7 +61,7 @@ def mentions(docs: DataFrame, models: dict[str, Callable[[], Callable[[list[str]
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"].fillna(""), strict=True):
-                cuts = list(windows(text))
+                cuts = list(windows(text, width, min(OVERLAP, width // 4)))
                 for name, model in ready.items():
                     for (at, _), found in zip(cuts, model([c for _, c in cuts]), strict=True):
                         for m in found:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import probes as P
+from . import evaluation as V
 from .config import Config
 from .functions import sql as S
 from .functions.checks import iban_remainder, tax_code_ok
@@ -453,3 +454,30 @@ def length_percentiles(spark, sf_dir):
     w = Window.orderBy("len")
     c = counts.withColumn("upto", F.sum("count").over(w)).withColumn("n", F.sum("count").over(Window.partitionBy()))
     return c.withColumn("q", F.explode(F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))).filter("floor(n * q) < upto and floor(n * q) >= upto - count").select("q", F.col("len").alias("chars"))
+
+
+@query("SELECT 's' || CAST(c_custkey % 2 AS STRING) AS source, policy, CAST(sum(n) AS BIGINT) AS companies FROM customer, (VALUES ('keep', 0), ('person_named', 1), ('all', 2)) AS p(policy, n) GROUP BY 1, 2")
+def company_policies(spark, sf_dir):
+    v = _customers(spark, sf_dir, "paga la {PS} Costruzioni S.r.l. e la Fratelli {QS} S.n.c. oggi.")
+    return V.company_policies(v.withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 2).cast("string"))))
+
+
+@query(f"SELECT c_custkey AS doc_id, 'name' AS kind, lower({P.filled('{GG}', P.duck)}) AS value FROM customer UNION ALL SELECT c_custkey, 'CF', {P.filled('{CF}', P.duck)} FROM customer UNION ALL SELECT c_custkey, 'Email', {P.filled('{EMAIL}', P.duck)} FROM customer")
+def fixture_scan(spark, sf_dir):
+    """Names of a bank are safe in a fixture; others, tax codes and addresses are not."""
+    bank = spark.createDataFrame([(w.lower(),) for w in P.GIVEN + P.SURNAMES], "word string")
+    return V.fixture_scan(_customers(spark, sf_dir, "Il ricorrente {P} e il sig. {G}, C.F. {CF}, scrive a {EMAIL} oggi."), bank)
+
+
+def _page_sql() -> str:
+    text = "html"
+    for pattern, by in V.HTML:
+        text = f"regexp_replace({text}, '{pattern}', {P.quoted(by, P.duck)}, 'g')"
+    for entity, by in V.ENTITIES:
+        text = f"replace({text}, {P.quoted(entity, P.duck)}, {P.quoted(by, P.duck)})"
+    return f"SELECT page_id, trim({text}) AS text FROM pages"
+
+
+@query(_page_sql())
+def html_text(spark, sf_dir):
+    return _docs(spark, sf_dir, "pages").select("page_id", V.page_text(F.col("html")).alias("text"))

@@ -4,12 +4,13 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from legalveil import probes, queries
+import legalveil
+from legalveil import evaluation, probes, queries
 from legalveil.config import Config, resolved
 from legalveil.functions import sql as S
 from legalveil.functions.lexicons import Lexicons
 from legalveil.operators import metrics, ner
-from legalveil.plans.pseudonymize import analyze, anonymize, pseudonymize
+from legalveil.plans.pseudonymize import anonymize, pseudonymize
 from legalveil.sources import batch
 from legalveil.streaming import files
 
@@ -42,7 +43,7 @@ def test_a_second_run_changes_nothing(spark):
     text = "Il ricorrente Ildebrando Cervigatti, nato a Lodi il 3.4.1960, insiste. Presidente: FREGOLAZZI DOROTEA\n"
     first, report = anonymize(spark, text)
     assert first == "Il ricorrente Nominativo_1, nato a Luogo_1 il Data_nascita_1, insiste. Presidente: FREGOLAZZI DOROTEA\n"
-    assert report["protected"] == ["FREGOLAZZI DOROTEA"] and report["replacement_spans"][0] == {"start": 14, "end": 36}
+    assert report["protected"] == ["FREGOLAZZI DOROTEA"] and report["replacement_spans"][0] == {"start": 14, "end": 35}
     assert anonymize(spark, first)[0] == first
 
 
@@ -189,3 +190,10 @@ def test_expression_text_escapes():
 
 def test_every_query_has_sql_of_its_own():
     assert set(queries.ORACLE_SQL) == set(queries.QUERIES)
+
+
+def test_lazy_surface_and_projection():
+    assert legalveil.anonymize is anonymize and legalveil.run_batch is batch.run
+    with pytest.raises(AttributeError):
+        legalveil.nothing  # noqa: B018
+    assert evaluation.projection(100, 10.0) == {"ms_per_document": 100.0, "documents_per_second": 10.0, "hours": pytest.approx(27.78, abs=0.01)}
