@@ -4,8 +4,9 @@ Texts are cut into units at places that no piece crosses (before white space, ar
 that stand alone, between a letter and a mark that never follows one in a piece). The units of a
 partition, each once, run ahead of its texts through one stage without a shuffle:
 
-* their substrings of bounded length are exploded and equi-joined to the piece table, which is
-  broadcast (a model's pieces, whatever the corpus);
+* their substrings of bounded length, as 64-bit hashes of their bytes, are exploded and equi-joined
+  to the piece table, which is broadcast (a model's pieces, whatever the corpus); a bitmap of the
+  table's hashes spares the explosion most of those that the join would drop;
 * the edges of a unit, which stand together, are grouped into one row, best first;
 * Spark's higher-order aggregate folds them: for a unigram model by Viterbi, the best total score
   over the lattice; for a BPE model by merges, an edge joining where its two halves are whole. A
@@ -25,16 +26,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
-from .textbytes import U, prefix_hash, span_hash, text_chunks
+from .textbytes import U, prefix_hash, span_hash, text_chunks, trimmed
 
 MODEL = os.environ.get("LEGALVEIL_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SEEN = 1 << 20  # units that a task remembers, some 30 MB
 SHORT = 62  # symbols of the longest unit whose cuts are bits of one long; longer ones have several
-STEP = 64  # start positions of a unit that are exploded from one substring
+MAP_BITS = 20  # log2 of the places of the bitmaps
+HEAD = 4  # symbols by whose bitmap longer substrings are tried
+BLOCK = 1 << 18  # substrings that a row of units may explode into
 SPACE = "▁"
 
 
@@ -76,13 +80,36 @@ class Model:
         if self.longest > SHORT - 1:
             raise ValueError(f"a piece has more than {SHORT - 1} symbols")
         self.word = SHORT - self.longest  # boundaries in each long of a longer unit
-        raw = [p.encode() for p in self.ids]
+        raw = [p.replace(SPACE, " ").encode() for p in self.ids]
         ends = np.cumsum([len(x) for x in raw]) if raw else np.empty(0, int)
         h = span_hash(prefix_hash(np.frombuffer(b"".join(raw), np.uint8)), ends - [len(x) for x in raw], ends) if raw else np.empty(0, U)
         order = np.argsort(h)
         self.hashes, self.hash_ids = h[order], np.array(list(self.ids.values()), np.int32)[order]
+        self.some = np.zeros(1 << MAP_BITS, bool)
+        self.some[self.hashes >> U(64 - MAP_BITS)] = True
+        self.heads = np.zeros(1 << MAP_BITS, bool)  # of the first HEAD symbols of longer pieces
+        long = [p.replace(SPACE, " ")[:HEAD].encode() for p in self.ids if len(p) > HEAD]
+        if long:
+            ends = np.cumsum([len(x) for x in long])
+            self.heads[span_hash(prefix_hash(np.frombuffer(b"".join(long), np.uint8)), ends - [len(x) for x in long], ends) >> U(64 - MAP_BITS)] = True
         self.by_byte = np.array([self.bytes.get(b, self.unknown) for b in range(256)], np.int32)
         self.rank = {p: -self.scores[i] for p, i in self.ids.items()}
+        self.least = 2 if self.bpe else 1  # symbols of the shortest edge
+        self.spans = [np.array([(i, k) for i in range(n) for k in range(self.least, n - i + 1)], np.int64).reshape(-1, 2) for n in range(self.longest)]
+
+    def span(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, symbols) of the at-th substring of a unit of n symbols, by start and length."""
+        per = self.longest - self.least + 1
+        full = np.maximum(n - self.longest + 1, 0)
+        head = at < full * per
+        i, k = at // per, self.least + at % per
+        few = np.flatnonzero(~head)
+        if len(few):
+            first = np.concatenate(([0], np.cumsum([len(x) for x in self.spans])))
+            row = first[np.minimum(n[few], self.longest - 1)] + at[few] - full[few] * per
+            table = np.concatenate(self.spans)[row]
+            i[few], k[few] = full[few] + table[:, 0], table[:, 1]
+        return i, k
 
     def in_order(self) -> bool:
         """Whether the merges that make each piece come in order of their ranks. Then those of any
@@ -182,73 +209,125 @@ def merges(unit: str, model: Model) -> tuple[list[int], list[float]]:
     return [end[i] for i in range(n) if whole[i]], came
 
 
-def task_units(shared, most: int, kind: str):
-    """Rows (what, doc_id, text, key, unit): the units that a task has not met (0) ahead of the
-    texts that hold them (1), and 2 where it begins anew."""
+def blanked(texts: pa.Array, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """with_blank of the texts, the white space mark in them being the blank that it stands for."""
+    if SPACE.encode() in buf.tobytes():
+        _, _, buf, off = next(text_chunks(pc.replace_substring(texts, SPACE, " "), 1 << 62))
+    return with_blank(buf, off)
+
+
+def substrings(buf: np.ndarray, start: np.ndarray, end: np.ndarray, m: Model, block: int) -> Iterator[tuple]:
+    """(units, n, offsets, at, hashes) of blocks of about ``block`` substrings at most, of units in a
+    row: the number of each substring within its unit, and its hash; -1 and 0, at the head of a
+    unit's first block, stand for the unit itself."""
+    raw, size = gathered(buf, start, end - start, np.arange(len(start)))
+    ends = np.cumsum(size)
+    symbol = np.flatnonzero((raw & 0xC0) != 0x80)
+    first = np.searchsorted(symbol, np.concatenate(([0], ends)))
+    n = np.diff(first)
+    unit = np.repeat(np.arange(len(n)), n)
+    left = n[unit] - (np.arange(len(unit)) - first[:-1][unit])
+    per = np.maximum(np.minimum(left, m.longest) - m.least + 1, 0)
+    total = np.concatenate(([0], np.cumsum(per)))
+    edge = np.concatenate((symbol, [len(raw)]))
+    s = prefix_hash(raw)
+    a = 0
+    while a < len(unit):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + block, "right")) - 1)
+        # the short ones, and the longer ones where a longer piece begins like that
+        few = np.minimum(per[a:b], HEAD - m.least + 1)
+        far = a + np.flatnonzero(per[a:b] > few)
+        far = far[m.heads[span_hash(s, edge[far], edge[far + HEAD]) >> U(64 - MAP_BITS)]]
+        number, h = [], []
+        for start, low, most in ((np.arange(a, b), m.least, few), (far, HEAD + 1, per[far] - (HEAD - m.least + 1))):
+            begin = np.repeat(start, most)
+            k = low + np.arange(len(begin)) - np.repeat(np.cumsum(most) - most, most)
+            found = span_hash(s, edge[begin], edge[begin + k])
+            own = m.some[found >> U(64 - MAP_BITS)]
+            h.append(found[own])
+            number.append(total[begin[own]] + k[own] - m.least)
+        number, h = np.concatenate(number), np.concatenate(h)
+        order = np.argsort(number, kind="stable")
+        number, h = number[order], h[order]
+        of = unit[np.searchsorted(total, number, "right") - 1]
+        at = number - total[first[:-1][of]]
+        u = np.arange(unit[a], unit[b - 1] + 1)
+        lead = first[:-1][u] >= a
+        count = np.bincount(of - u[0], minlength=len(u))
+        offsets = np.concatenate(([0], np.cumsum(count + lead)))
+        place = np.arange(len(h)) + np.repeat(np.cumsum(lead), count)
+        out, which = np.zeros(offsets[-1], U), np.full(offsets[-1], -1, np.int32)
+        out[place], which[place] = h, at
+        yield u, n[u], offsets, which, out
+        a = b
+
+
+def task_units(shared, most: int, kind: str, block: int):
+    """Rows (what, doc_id, text, key, unit, n, at, subs): the units that a task has not met (0)
+    with their substrings, ahead of the texts that hold them (1), and 2 where it begins anew."""
+    names = ["what", "doc_id", "text", "key", "unit", "n", "ats", "subs"]
+
+    def listed(offsets: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
+        return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(v)) for v in values]
+
+    def rows(what: int, docs, id_type, text_type, count: int) -> pa.RecordBatch:
+        own = docs or [pa.nulls(count, id_type), pa.nulls(count, text_type)]
+        subs = listed(np.arange(count + 1), np.full(count, -1, np.int32), np.zeros(count, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(count, what, np.int8)), *own, pa.nulls(count, pa.int64()), pa.nulls(count, pa.binary()), pa.array(np.zeros(count, np.int32)), *subs], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, seen = shared.value, np.empty(0, U)
-        names = ["what", "doc_id", "text", "key", "unit"]
         for batch in batches:
             id_type, text_type = batch["doc_id"].type, batch["text"].type
             for a, b, buf, off in text_chunks(batch["text"]):
-                buf, off = with_blank(buf, off)
+                buf, off = blanked(batch["text"][a:b], buf, off)
                 s, e, key, _ = cut_units(buf, off, m)
                 key, at = np.unique(key, return_index=True)
                 if len(seen) and len(seen) + len(key) > most:
                     seen = seen[:0]
-                    yield pa.RecordBatch.from_arrays([pa.array([2], pa.int8()), pa.nulls(1, id_type), pa.nulls(1, text_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())], names)
+                    yield rows(2, None, id_type, text_type, 1)
                 if len(seen):
                     place = np.minimum(np.searchsorted(seen, key), len(seen) - 1)
                     new = seen[place] != key
                     key, at = key[new], at[new]
                 seen = np.sort(np.concatenate([seen, key]), kind="stable")
                 for i in range(0, len(key), 8192):
-                    k, w = key[i : i + 8192], at[i : i + 8192]
-                    flat, size = gathered(buf, s[w], e[w] - s[w], np.arange(len(w)))
-                    ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-                    unit = pa.BinaryArray.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(k), np.int8)), pa.nulls(len(k), id_type), pa.nulls(len(k), text_type), pa.array(k.view(np.int64)), unit], names)
-                n = b - a
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int8)), batch["doc_id"][a:b], batch["text"][a:b], pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
+                    k, w = key[i : i + 8192].view(np.int64), at[i : i + 8192]
+                    for u, n, offsets, which, hashes in substrings(buf, s[w], e[w], m, block):
+                        flat, size = gathered(buf, s[w], e[w] - s[w], u)
+                        ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+                        unit = pa.BinaryArray.from_buffers(pa.binary(), len(u), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(u), np.int8)), pa.nulls(len(u), id_type), pa.nulls(len(u), text_type), pa.array(k[u]), unit, pa.array(n.astype(np.int32)), *listed(offsets, which, hashes.view(np.int64))], names)
+                yield rows(1, [batch["doc_id"][a:b], batch["text"][a:b]], id_type, text_type, b - a)
 
-    return run, f"what byte, doc_id {kind}, text string, key long, unit binary"
+    return trimmed(run), f"what byte, doc_id {kind}, text string, key long, unit binary, n int, ats array<int>, subs array<long>"
 
 
 def edges_of(rows: DataFrame, model: Model) -> DataFrame:
-    """The rows, each with pos = k = 0, and behind each unit its lattice: a row (pos, k, cost) for
-    each substring of k symbols from pos (1 is the first) that is a piece."""
+    """The rows, each with at = -1, and behind each unit its lattice: a row (at, cost) for each of
+    its substrings, by number, that is a piece."""
     spark = rows.sparkSession
-    least = 2 if model.bpe else 1
-    pieces = [("", 0.0), *((p, c) for p, c in model.rank.items() if len(p) >= least)]
-    table = spark.createDataFrame(pa.table({"piece": [p for p, _ in pieces], "cost": [c for _, c in pieces]}).to_pandas())
-    longest = model.longest
-    u = rows.withColumn("unit", F.expr(f"replace(cast(unit as string), ' ', '{SPACE}')")).withColumn("n", F.expr("coalesce(char_length(unit), 0)"))
-    u = u.withColumn("c", F.explode(F.expr(f"sequence(0, (greatest(n, 1) - 1) div {STEP})")))
-    u = u.withColumn("part", F.expr(f"if(n <= {STEP}, coalesce(unit, ''), substring(unit, c * {STEP} + 1, {STEP + longest - 1}))")).withColumn("size", F.expr(f"least(n - c * {STEP}, {STEP + longest - 1})"))
-    first, last = "if(c = 0, 0, 1)", f"least({STEP}, size - {least - 1})"
-    u = u.withColumn("i", F.explode(F.expr(f"if({last} >= {first}, sequence({first}, {last}), if(c = 0, sequence(0, 0), cast(array() as array<int>)))")))
-    u = u.withColumn("k", F.explode(F.expr(f"if(i = 0, sequence(0, 0), sequence({least}, least({longest}, size - i + 1)))")))
-    u = u.withColumn("piece", F.expr("substring(part, i, k)"))
-    head = "k = 0"
-    return u.join(F.broadcast(table), "piece").select("what", "doc_id", "text", F.expr(f"if({head}, key, null)").alias("key"), F.expr(f"if({head}, unit, null)").alias("unit"), "n", F.expr(f"if({head}, 0, c * {STEP} + i)").alias("pos"), "k", "cost")
+    own = [(i, h) for i, h in zip(model.hash_ids.tolist(), model.hashes.view(np.int64).tolist(), strict=True) if len(model.pieces[i]) >= model.least]
+    table = spark.createDataFrame(pa.table({"sub": pa.array([0, *(h for _, h in own)], pa.int64()), "cost": pa.array([0.0, *(-model.scores[i] for i, _ in own)])}).to_pandas())
+    e = rows.select("what", "doc_id", "text", "key", "unit", "n", "ats", F.posexplode("subs").alias("pos", "sub"))
+    return e.join(F.broadcast(table), "sub").select("what", "doc_id", "text", "key", F.when(F.col("sub") == 0, F.col("unit")).alias("unit"), "n", F.get("ats", "pos").alias("at"), "cost")
 
 
-EDGES = "array<struct<at:int,ends:long,mid:long,cost:double>>"
+EDGES = "ats array<int>, ends array<long>, mids array<long>, costs array<double>"
 
 
 def grouped(shared, kind: str, short: int):
-    """Rows (what, doc_id, text, key, unit, n, edges): the edges that follow a unit as its array,
-    in the order of the fold. For merges an edge has its ends and what lies between them as bits,
-    from the word ``at``; for Viterbi ``at`` and ``ends`` are its first and last boundary."""
-    names = ["what", "doc_id", "text", "key", "unit", "n", "edges"]
+    """Rows (what, doc_id, text, key, unit, n, ats, ends, mids, costs): the edges that follow a unit
+    as its arrays, in the order of the fold. For merges an edge has its ends and what lies between
+    them as bits, from the word ``at`` (null: all from the first); for Viterbi ``at`` and ``ends``
+    are its first and last boundary."""
+    names = ["what", "doc_id", "text", "key", "unit", "n", "ats", "ends", "mids", "costs"]
 
     def arrays(m: Model, batch: pa.RecordBatch) -> pa.RecordBatch:
-        pos, k, n, cost = (batch[c].to_numpy(zero_copy_only=False) for c in ("pos", "k", "n", "cost"))
-        head = np.flatnonzero(k == 0)
-        item = np.cumsum(k == 0) - 1
-        e = np.flatnonzero(k > 0)
-        of, a, size, cost = item[e], pos[e].astype(np.int64) - 1, k[e].astype(np.int64), cost[e]
+        at, n, cost = (batch[c].to_numpy(zero_copy_only=False) for c in ("at", "n", "cost"))
+        head, e = np.flatnonzero(at < 0), np.flatnonzero(at >= 0)
+        of, cost = np.cumsum(at < 0)[e] - 1, cost[e]
+        a, size = m.span(at[e].astype(np.int64), n[e].astype(np.int64))
         if m.bpe:
             order = np.lexsort((a, cost, of))
             of, a, size, cost = of[order], a[order], size[order], cost[order]
@@ -267,14 +346,16 @@ def grouped(shared, kind: str, short: int):
             of, at, size, cost = of[order], a[order], size[order], cost[order]
             ends, mid = (at + size).astype(U), np.zeros(len(at), U)
         first = np.searchsorted(of, np.arange(len(head) + 1)).astype(np.int32)
-        edge = pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(ends.view(np.int64)), pa.array(mid.view(np.int64)), pa.array(cost)], ["at", "ends", "mid", "cost"])
         own = batch.take(pa.array(head)) if len(head) < batch.num_rows else batch
-        return pa.RecordBatch.from_arrays([own["what"], own["doc_id"], own["text"], own["key"], own["unit"], own["n"], pa.ListArray.from_arrays(pa.array(first), edge)], names)
+        listed = lambda v: pa.ListArray.from_arrays(pa.array(first), pa.array(v))
+        words = listed(at.astype(np.int32)) if not m.bpe or (n[head] > short).any() else pa.nulls(len(head), pa.list_(pa.int32()))
+        bits = [listed(mid.view(np.int64)), pa.nulls(len(head), pa.list_(pa.float64()))] if m.bpe else [pa.nulls(len(head), pa.list_(pa.int64())), listed(cost)]
+        return pa.RecordBatch.from_arrays([own["what"], own["doc_id"], own["text"], own["key"], own["unit"], own["n"], words, listed(ends.view(np.int64)), *bits], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, left = shared.value, []
         for batch in batches:
-            head = np.flatnonzero(batch["k"].to_numpy() == 0)
+            head = np.flatnonzero(batch["at"].to_numpy() < 0)
             if len(head) and head[-1] == 0 and not left:
                 left = [batch]
             elif len(head):
@@ -288,30 +369,31 @@ def grouped(shared, kind: str, short: int):
             for b in pa.Table.from_batches(left).combine_chunks().to_batches():
                 yield arrays(m, b)
 
-    return run, f"what byte, doc_id {kind}, text string, key long, unit string, n int, edges {EDGES}"
+    return trimmed(run), f"what byte, doc_id {kind}, text string, key long, unit binary, n int, {EDGES}"
 
 
 def folded(items: DataFrame, model: Model, short: int, in_order: bool) -> DataFrame:
     """items with ``cuts``. For merges, bits where a piece ends: one long up to ``short`` symbols,
     else a long for each model.word boundaries. For Viterbi the best last piece's start by end."""
+    each = "if(size(ends) > 0, sequence(0, size(ends) - 1), cast(array() as array<int>))"  # the edges, by number
     if not model.bpe:
-        cand = "(s.done[x.at].c + x.cost)"
-        fold = f"""aggregate(edges, struct(array(struct(0D as c, 0 as f)) as done, cast('Infinity' as double) as c, 0 as f, 1 as e), (s, x) ->
-            if(x.ends > s.e, struct(concat(s.done, array(struct(s.c as c, s.f as f))) as done, concat(s.done, array(struct(s.c as c, s.f as f)))[x.at].c + x.cost as c, x.at as f, cast(x.ends as int) as e),
-               if({cand} < s.c, struct(s.done as done, {cand} as c, x.at as f, s.e as e), s)),
+        cand = "(s.done[ats[i]].c + costs[i])"
+        fold = f"""aggregate({each}, struct(array(struct(0D as c, 0 as f)) as done, cast('Infinity' as double) as c, 0 as f, 1 as e), (s, i) ->
+            if(ends[i] > s.e, struct(concat(s.done, array(struct(s.c as c, s.f as f))) as done, concat(s.done, array(struct(s.c as c, s.f as f)))[ats[i]].c + costs[i] as c, ats[i] as f, cast(ends[i] as int) as e),
+               if({cand} < s.c, struct(s.done as done, {cand} as c, ats[i] as f, s.e as e), s)),
             s -> concat(transform(s.done, d -> cast(d.f as long)), array(cast(s.f as long))))"""
     else:
         w = model.word
-        joins = "(({s}) & x.ends) = x.ends and bit_count(({s}) & x.mid) = 1".replace
-        one = f"aggregate(edges, shiftleft(1L, n + 1) - 1L, (s, x) -> if({joins('{s}', 's')}, s & ~x.mid, s))"
-        both = f"s[x.at] | shiftleft(s[x.at + 1], {w})"
-        many = f"""aggregate(edges, transform(sequence(0, n div {w} + 2), j -> shiftleft(1L, {w}) - 1L), (s, x) -> if({joins('{s}', both)},
-            transform(s, (v, j) -> if(j = x.at, v & ~x.mid, if(j = x.at + 1, v & ~shiftrightunsigned(x.mid, {w}), v))), s))"""
+        joins = "(({s}) & ends[i]) = ends[i] and bit_count(({s}) & mids[i]) = 1".replace
+        whole, words = "shiftleft(1L, n + 1) - 1L", f"transform(sequence(0, n div {w} + 2), j -> shiftleft(1L, {w}) - 1L)"
+        both = f"s[ats[i]] | shiftleft(s[ats[i] + 1], {w})"
+        clear = f"transform(s, (v, j) -> if(j = ats[i], v & ~mids[i], if(j = ats[i] + 1, v & ~shiftrightunsigned(mids[i], {w}), v)))"
+        one = f"aggregate({each}, {whole}, (s, i) -> if({joins('{s}', 's')}, s & ~mids[i], s))"
+        many = f"aggregate({each}, {words}, (s, i) -> if({joins('{s}', both)}, {clear}, s))"
         if not in_order:  # the best edge whose halves are whole, until none is left
-            best = "get(filter(edges, x -> {c}), 0)".replace
-            one = f"aggregate(sequence(1, n), shiftleft(1L, n + 1) - 1L, (s, _) -> s & ~coalesce({best('{c}', joins('{s}', 's'))}.mid, 0L))"
-            many = f"""aggregate(sequence(1, n), transform(sequence(0, n div {w} + 2), j -> shiftleft(1L, {w}) - 1L), (s, _) -> aggregate(array({best('{c}', joins('{s}', both))}), s, (t, x) ->
-                if(x is null, t, transform(t, (v, j) -> if(j = x.at, v & ~x.mid, if(j = x.at + 1, v & ~shiftrightunsigned(x.mid, {w}), v))))))"""
+            best = "get(filter({each}, i -> {c}), 0)".replace("{each}", each).replace
+            one = f"aggregate(sequence(1, n), {whole}, (s, _) -> s & ~coalesce(get(mids, {best('{c}', joins('{s}', 's'))}), 0L))"
+            many = f"aggregate(sequence(1, n), {words}, (s, _) -> aggregate(array({best('{c}', joins('{s}', both))}), s, (s, i) -> if(i is null, s, {clear})))"
         fold = f"if(n <= {short}, array({one}), {many})"
     return items.select("what", "doc_id", "text", "key", "unit", "n", F.expr(f"if(what = 0, {fold}, null)").alias("cuts"))
 
@@ -342,7 +424,7 @@ def unit_ids(units: pa.Array, n: np.ndarray, cuts: pa.Array, m: Model, short: in
         end, unit = np.array(ends, np.int64), np.array(owner, np.int64)
     start = np.concatenate(([0], end[:-1]))
     start[np.concatenate(([True], unit[1:] != unit[:-1]))[: len(unit)]] = 0
-    buf = np.frombuffer(b"".join(x.encode() for x in units.to_pylist()), np.uint8)
+    buf = np.frombuffer(b"".join(units.to_pylist()), np.uint8)
     symbol = np.concatenate((np.flatnonzero((buf & 0xC0) != 0x80), [len(buf)]))
     a, b = symbol[whole[unit] + start], symbol[whole[unit] + end]
     h = span_hash(prefix_hash(buf), a, b)
@@ -357,7 +439,7 @@ def unit_ids(units: pa.Array, n: np.ndarray, cuts: pa.Array, m: Model, short: in
     return out.astype(np.int32), np.bincount(unit, many, len(n)).astype(np.int64)
 
 
-def encode(docs: DataFrame, model: Model | None = None, *, id_col="doc_id", text_col="text", seen: int = SEEN, short: int = SHORT) -> DataFrame:
+def encode(docs: DataFrame, model: Model | None = None, *, id_col="doc_id", text_col="text", seen: int = SEEN, short: int = SHORT, block: int = BLOCK) -> DataFrame:
     """Per row of docs: doc_id, ids (array<int>), n_tokens, round_trip (whether decoding gives the
     text back).
 
@@ -371,10 +453,10 @@ def encode(docs: DataFrame, model: Model | None = None, *, id_col="doc_id", text
     shared = spark.sparkContext.broadcast(model)  # the piece table
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = dict(d.dtypes)["doc_id"]
-    rows = d.mapInArrow(*task_units(shared, seen, kind))
+    rows = d.mapInArrow(*task_units(shared, seen, kind, block))
     items = edges_of(rows, model).mapInArrow(*grouped(shared, kind, short))
     done = folded(items, model, short, model.bpe and model.in_order())
-    return done.mapInArrow(_encoder(shared, short), f"doc_id {kind}, ids array<int>, n_tokens long, round_trip boolean")
+    return done.mapInArrow(trimmed(_encoder(shared, short)), f"doc_id {kind}, ids array<int>, n_tokens long, round_trip boolean")
 
 
 def _encoder(shared, short: int):
@@ -402,7 +484,7 @@ def _encoder(shared, short: int):
                         order = np.argsort(keys, kind="stable")
                         keys, start, count, fresh = keys[order], start[order], count[order], []
                     for a, b, buf, off in text_chunks(part["text"]):
-                        padded, at = with_blank(buf, off)
+                        padded, at = blanked(part["text"][a:b], buf, off)
                         _, _, key, first = cut_units(padded, at, m)
                         place = np.searchsorted(keys, key)
                         if len(key) and (keys[np.minimum(place, len(keys) - 1)] != key).any():
@@ -456,7 +538,7 @@ def decode(encoded: DataFrame, model: Model | None = None, *, id_col="doc_id", i
                 texts.append(out.tobytes().decode("utf-8", "replace") if x.is_valid else None)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, text string")
+    return d.mapInArrow(trimmed(run), f"doc_id {dict(d.dtypes)['doc_id']}, text string")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,12 +67,12 @@ def test_repeats_match_brute_force(docs):
     assert got == want
 
 
-@pytest.mark.parametrize("options", [{}, {"seen": 20}, {"short": 3}])
+@pytest.mark.parametrize("options", [{}, {"seen": 20}, {"short": 3}, {"block": 7}])
 def test_pieces_match_the_library_and_round_trip(docs, options):
     from sentencepiece import SentencePieceProcessor
 
     sp = SentencePieceProcessor(model_file=pieces.MODEL)
-    more = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame([(900, "  a\n b\tc  "), (901, "x" * 300), (902, "1.234, «ok» …")], "doc_id long, text string"))
+    more = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame([(900, "  a\n b\tc  "), (901, "x" * 300), (902, "1.234, «ok» …"), (903, "日本語の文章 と長い" * 40)], "doc_id long, text string"))
     rows = more.join(pieces.encode(more, **options), "doc_id").collect()
     assert len(rows) == more.count()
     assert all(r["ids"] == sp.encode(r["text"] or "") and r["round_trip"] for r in rows)
