@@ -15,14 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, remainder
-from .fits import Adam, sigmoid
-from .textbytes import LOWER, U, mixed, text_chunks
+from .common import read, remainder, written
+from .fits import Adam, fitted, sigmoid
+from .textbytes import LOWER, U, mixed, text_chunks, trimmed
 
 BITS = 13  # of n-gram slots
 SAMPLE = 1_000  # most rows of each language that the fit sees
-ROWS = 4_000  # about the most rows of a fit: many languages get fewer rows each
-LANGUAGES = 256  # most languages of a fit: the most frequent
+ROWS = 4_000  # about the rows of a fit: many languages get fewer rows each,
+LEAST = 4  # but so many at least, of every language there is
 MARGIN = 0.1  # a text whose winner leads by less is ambiguous
 
 _LETTER = np.zeros(256, bool)
@@ -33,11 +33,18 @@ HAS_LETTER = r"\p{L}"
 
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
-    """n codewords of +1 and -1: one bit for each language against the rest, and random balanced
-    bits, the best of many draws by least distance."""
+    """n codewords of +1 and -1: random balanced bits, the best of many draws by least distance, and
+    for few languages one bit for each against the rest. Many languages get longer words instead of
+    draws, of which no two are alike."""
     if n < 2:
         return np.ones((n, 1))
     rng = np.random.default_rng(seed)
+    if n > 64:
+        width = 6 * int(np.ceil(np.log2(n)))
+        while True:
+            c = np.array([rng.permutation(np.where(np.arange(n) < n // 2, 1, -1)) for _ in range(width)]).T
+            if len(np.unique(c, axis=0)) == n:
+                return c.astype(float)
     width = max(3, 2 * int(np.ceil(np.log2(n))))
     best, far = None, -1.0
     for _ in range(200):
@@ -89,18 +96,18 @@ def gram_means(buf: np.ndarray, off: np.ndarray, table: np.ndarray) -> np.ndarra
     return out / np.maximum(count, 1)[:, None]
 
 
-def fit_on(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", divisor: int = 4, held: int = 2, sample: int = SAMPLE, languages: int = LANGUAGES) -> dict | None:
+def fit_on(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", divisor: int = 4, held: int = 2, sample: int = SAMPLE, rows: int = ROWS) -> dict | None:
+    """The model of all languages of the rows that may be learned from."""
     ids = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).filter("id is not null and lang is not null")
     ids = ids.filter(remainder(F.col("id"), divisor) != held).distinct()
-    known = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
-    n_known = known.count()
-    sample = min(sample, max(16, ROWS // max(1, n_known)))
+    known = written(ids.groupBy("lang").count(), "langs")
+    sample = min(sample, max(LEAST, rows // max(1, known.count())))
     # the least keys of each language: a threshold on the hash, from the counts, then an exact cut
     ids = ids.withColumn("k", F.crc32(F.concat(F.lit("lang:"), F.col("id").cast("string"))))
-    near = ids.join(F.broadcast(known), "lang").filter(F.col("k") <= F.lit(2.0**32) * 2 * sample / F.col("count"))
+    near = ids.join(known, "lang").filter(F.col("k") <= F.lit(2.0**32) * 4 * sample / F.col("count"))
     chosen = near.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "id"))), 1, sample).alias("c")).select("lang", F.explode("c.id").alias("id"))
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
-    rows = d.join(F.broadcast(chosen), "id").select("lang", "text")  # at most languages * sample ids
+    texts = d.join(F.broadcast(chosen), "id").select("lang", "text")  # at most languages * sample ids
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,37 +116,52 @@ def fit_on(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang"
                 for i, j in zip(off[:-1], off[1:], strict=True):
                     s, _ = gram_slots(buf[i:j], np.array([0, j - i]))
                     u, c = np.unique(s, return_counts=True)
-                    got.append((u.astype(np.int32).tobytes(), (c / max(1, c.sum())).astype(np.float32).tobytes()))
+                    got.append((u.astype(np.uint16).tobytes(), (c / max(1, c.sum())).astype(np.float32).tobytes()))
                 yield pa.RecordBatch.from_arrays([batch["lang"][a:b], pa.array([x for x, _ in got], pa.binary()), pa.array([x for _, x in got], pa.binary())], ["lang", "slot", "share"])
 
-    got = rows.mapInArrow(counts, "lang string, slot binary, share binary").toArrow().to_pydict()
-    order = sorted(range(len(got["lang"])), key=lambda i: (got["lang"][i], got["slot"][i], got["share"][i]))
+    return fitted(texts.mapInArrow(trimmed(counts), "lang string, slot binary, share binary"), fit)
+
+
+def fit(got: dict[str, list]) -> dict:
+    """One linear classifier for each bit of the codewords, on rows of (slot, share) by language."""
+    rows = sorted(zip(got["lang"], got["slot"], got["share"], strict=True))  # whatever order they came in
     langs = sorted(set(got["lang"]))
-    if not langs:
-        return None
-    x = np.zeros((len(order), 1 << BITS), np.float32)
-    for r, i in enumerate(order):
-        x[r, np.frombuffer(got["slot"][i], np.int32)] = np.frombuffer(got["share"][i], np.float32)
-    y = np.array([langs.index(got["lang"][i]) for i in order])
+    index = {x: i for i, x in enumerate(langs)}
+    grams = [(np.frombuffer(s, np.uint16), np.frombuffer(v, np.float32)) for _, s, v in rows]
+    y = np.array([index[x] for x, *_ in rows])
     code = codewords(len(langs))
     target = (code[y] + 1) / 2
     weight = (1 / np.bincount(y)[y])[:, None] / len(langs)
-    scale = 1 / (x.std(0) + 1e-4).astype(np.float32)
+    total, square = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for s, v in grams:
+        total[s] += v
+        square[s] += v.astype(np.float64) ** 2
+    mean = total / len(rows)
+    scale = (1 / (np.sqrt(np.maximum(square / len(rows) - mean**2, 0)) + 1e-4)).astype(np.float32)
+
+    def batch(at: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(at), 1 << BITS), np.float32)
+        for r, i in enumerate(at.tolist()):
+            s, v = grams[i]
+            x[r, s] = v * scale[s]
+        return x
+
     p = {"w": np.zeros((1 << BITS, code.shape[1]), np.float32), "b": np.zeros(code.shape[1], np.float32)}
     adam, rng = Adam(0.02), np.random.default_rng(0)
     for _ in range(12):
-        for i in np.array_split(rng.permutation(len(order)), max(1, len(order) // 128)):
-            xs = x[i] * scale
-            e = ((sigmoid(xs @ p["w"] + p["b"]) - target[i]) * weight[i] * len(order) / len(i)).astype(np.float32)
+        for i in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 128)):
+            xs = batch(i)
+            e = ((sigmoid(xs @ p["w"] + p["b"]) - target[i]) * weight[i] * len(rows) / len(i)).astype(np.float32)
             adam.step(p, {"w": xs.T @ e + 1e-4 * p["w"], "b": e.sum(0)})
-    margins = np.concatenate([(x[i] * scale) @ p["w"] + p["b"] for i in np.array_split(np.arange(len(order)), max(1, len(order) // 512))])
+    margins = np.concatenate([batch(i) @ p["w"] + p["b"] for i in np.array_split(np.arange(len(rows)), max(1, len(rows) // 512))])
     right = np.clip((weight * ((margins > 0) == (target > 0.5))).sum(0), 0.5, 0.999)
     return {"langs": langs, "code": code, "w": (p["w"] * scale[:, None]).astype(np.float32), "b": p["b"], "bit": np.log(right / (1 - right)) + 1e-3}
 
 
 def decoded(model: dict, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(share of each language, order of languages by loss): softmax of minus the weighted loss."""
-    loss = (np.logaddexp(0, -model["code"][None] * margins[:, None, :]) * model["bit"]).sum(2)
+    one = model["code"] > 0
+    loss = (np.logaddexp(0, -margins) * model["bit"]) @ one.T + (np.logaddexp(0, margins) * model["bit"]) @ ~one.T
     share = np.exp(loss.min(1, keepdims=True) - loss)
     return share / share.sum(1, keepdims=True), np.argsort(loss, axis=1, kind="stable")
 
@@ -154,7 +176,7 @@ def languages(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="la
     held_out = F.coalesce(remainder(F.col("doc_id"), divisor) == held, F.lit(False)).alias("held_out")
     if model is None:
         return d.select("doc_id", held_out, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("ambiguous"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 << BITS rows of the code's width
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 << BITS rows of the code's width, and a word for each language
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -169,7 +191,7 @@ def languages(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="la
                 ok = letters[a:b]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"][a:b], pa.array(names[np.where(ok, order[:, 0], len(names) - 1)], pa.string()), pa.array(np.where(ok, top, 0.0)), pa.array(ok & (lead < margin))], ["doc_id", "lang_pred", "score", "ambiguous"])
 
-    out = d.mapInArrow(predict, f"doc_id {dict(d.dtypes)['doc_id']}, lang_pred string, score double, ambiguous boolean")
+    out = d.mapInArrow(trimmed(predict), f"doc_id {dict(d.dtypes)['doc_id']}, lang_pred string, score double, ambiguous boolean")
     return out.select("doc_id", held_out, "lang_pred", "score", "ambiguous")
 
 

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, remainder
-from .fits import calibrated, sigmoid
-from .textbytes import LOWER, U, prefix_hash, run_index, sorted_distinct, span_hash, text_chunks
+from .fits import calibrated, fitted, sigmoid
+from .textbytes import LOWER, U, prefix_hash, run_index, sorted_distinct, span_hash, text_chunks, trimmed
 
 BITS = 20
 RANK = 4
@@ -145,13 +145,13 @@ def fit_on(docs: DataFrame, labels: DataFrame, *, label="toxic", id_col="doc_id"
                 got = [s[i:j].astype(np.int32) for i, j in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch["y"][a:b], pa.array([x.tobytes() for x in got], pa.binary())], ["y", "slots"])
 
-    got = rows.mapInArrow(slots, "y int, slots binary").toArrow()
-    y = got["y"].to_numpy().astype(float)
-    terms = [np.frombuffer(x, np.int32) for x in got["slots"].to_pylist()]
-    if not len(y) or len(set(y.tolist())) < 2:
-        return None
-    order = sorted(range(len(y)), key=lambda i: (y[i], terms[i].tobytes()))  # whatever order the rows came in
-    return fit([terms[i] for i in order], y[order], bits=bits, rank=rank)
+    def model(got: dict[str, list]) -> dict | None:
+        if len(set(got["y"])) < 2:
+            return None
+        both = sorted(zip(got["y"], got["slots"], strict=True))  # whatever order the rows came in
+        return fit([np.frombuffer(x, np.int32) for _, x in both], np.array([y for y, _ in both], float), bits=bits, rank=rank)
+
+    return fitted(rows.mapInArrow(trimmed(slots), "y int, slots binary"), model)
 
 
 def score_with(docs: DataFrame, model: dict | None, *, id_col="doc_id", text_col="text") -> DataFrame:
@@ -176,7 +176,7 @@ def score_with(docs: DataFrame, model: dict | None, *, id_col="doc_id", text_col
                 yield pa.RecordBatch.from_arrays([batch["doc_id"][a:b], pa.array(sigmoid(m["a"] * raw + m["b"]))], ["doc_id", "score"])
 
     kind = dict(d.dtypes)["doc_id"]
-    return d.mapInArrow(score, f"doc_id {kind}, score double")
+    return d.mapInArrow(trimmed(score), f"doc_id {kind}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", divisor: int = 3, held: int = 1, cut: float = CUT, **options) -> DataFrame:
