@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import partitions
+from .textbytes import trimmed
 
 FLUSH = 1 << 20  # records that a task gathers before it deals them out
 ROWS = "bucket int, records binary, marks binary"
@@ -58,4 +59,4 @@ def by_bucket(df: DataFrame, work: Callable[[int, np.ndarray, np.ndarray], Itera
                 got.append((r, m))
         yield from done()
 
-    return df.repartition(partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return df.repartition(partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(run), schema)

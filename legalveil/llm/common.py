@@ -14,12 +14,20 @@ SPACE = r"[\x20\x09-\x0D]+"
 BITMAP = 24  # log2 of the bits of among()
 
 
+_local: dict[str, str] = {}  # by application, where no folder is named
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir. Where it is unset, a local one serves a
+    session of one machine, as in tests; a cluster must name its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="legalveil-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = "file://" + tempfile.mkdtemp(prefix="legalveil-")
+        found = _local[app]
     return found.rstrip("/")
 
 

@@ -81,12 +81,16 @@ def host_rules(docs: DataFrame, *, id_col="doc_id", text_col="text", host: Colum
     """Per row of docs: doc_id, host, the base facts, host_rate (shrunk) and kept.
 
     ``host`` is a column or an expression such as parse_url(url, 'HOST'). Rows without a host have
-    no host verdict and keep their own; repeated rows each count."""
+    no host verdict and keep their own; repeated rows each count. Rates are few beside documents and
+    mostly broadcast by their size; beyond that, a hot host's partition is split by the adaptive
+    skew join."""
     host = F.col(host) if isinstance(host, str) else host
     facts = base_rules(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), host.alias("host")))
     facts = written(facts.drop("text"), "hostfacts")
     rates = written(host_rates(facts.filter("host is not null")).select("host", F.col("shrunk").alias("host_rate")), "hostrates")
-    out = facts.join(rates, "host", "left")
+    # rows without a host go where the hash of their id takes them, not all to one task
+    own = F.coalesce(F.concat(F.lit("="), F.col("host")), F.xxhash64("doc_id").cast("string"))
+    out = facts.join(rates.withColumnRenamed("host", "of"), own == F.concat(F.lit("="), F.col("of")), "left").drop("of")
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) <= most_failed))
 
 

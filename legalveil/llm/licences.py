@@ -84,7 +84,7 @@ def template_table(spark: SparkSession, templates: dict[str, str], least: float)
 
 def scan_licences(docs: DataFrame, *, id_col="doc_id", text_col="text", templates: dict[str, str] | None = None, least: float = LEAST_DICE) -> DataFrame:
     """Every (doc_id, licence) reached: doc_id, licence, dice (the best of the text's units),
-    n_units (units that reach it), whole (whether the whole text does).
+    n_units (distinct units that reach it), whole (whether the whole text does).
 
     Templates number a few dozen, which bounds what is broadcast: they are joined by size, so that
     each unit meets only templates within its bounds. Null and empty texts match nothing; repeated
@@ -120,7 +120,7 @@ def _sql() -> str:
 WITH t(licence, grams) AS (VALUES {rows}),
 u AS (SELECT DISTINCT doc_id, text, unnest(list_concat([text], list_concat(string_split_regex(text, '\n[\x20\x09-\x0D]*\n'), string_split(text, chr(10))))) AS unit FROM documents WHERE text IS NOT NULL),
 w AS (SELECT doc_id, unit = text AS whole, regexp_extract_all(lower(unit), '[a-z0-9]+') AS w FROM u),
-g AS (SELECT doc_id, whole, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) BETWEEN 2 AND 2000),
+g AS (SELECT doc_id, whole, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) >= 2),
 m AS (SELECT doc_id, whole, licence, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice
   FROM g JOIN t ON len(g) BETWEEN len(grams) * {LEAST_DICE} / (2 - {LEAST_DICE}) AND len(grams) * (2 - {LEAST_DICE}) / {LEAST_DICE})
 SELECT doc_id, licence, max(dice) AS dice, count(*) AS n_units, bool_or(whole) AS whole FROM m WHERE dice >= {LEAST_DICE} GROUP BY doc_id, licence

@@ -17,7 +17,7 @@ from .common import WORD, read, written
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_EPOCHS = 2
-RANGE_ROWS = 65_536
+RANGE_ROWS = 8_192
 
 
 def word_count(text: Column) -> Column:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, read, written
+from .textbytes import trimmed
 
 K = 20
 EVERY = 20
@@ -121,9 +122,10 @@ def nearest(vectors: DataFrame, *, id_col="vec_id", vec_col="embedding", k: int
 
     Queries are the vectors whose id is divisible by ``every``, or ``queries``. All vectors that
     take part have one dimension, the most frequent; others, and null, zero or non-finite ones,
-    take no part. Ties go to the smaller id. Rows repeated with an id count once."""
+    take no part: a product of vectors of two dimensions is not defined. Ties go to the smaller id. Of
+    rows repeated with an id the least vector counts, so reruns agree."""
     spark = vectors.sparkSession
-    base = usable(vectors, id_col, vec_col).dropDuplicates(["vec_id"])
+    base = usable(vectors, id_col, vec_col).groupBy("vec_id").agg(F.min("x").alias("x"))
     top = base.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
     schema = "query_id long, rank int, vec_id long, score double"
     if top is None:
@@ -149,12 +151,12 @@ def nearest(vectors: DataFrame, *, id_col="vec_id", vec_col="embedding", k: int
 
         return make
 
-    q = base.filter(F.col("vec_id") % every == 0) if queries is None else usable(queries, id_col, vec_col).dropDuplicates(["vec_id"]).filter(F.size("x") == dim)
+    q = base.filter(F.col("vec_id") % every == 0) if queries is None else usable(queries, id_col, vec_col).groupBy("vec_id").agg(F.min("x").alias("x")).filter(F.size("x") == dim)
     kind = "ids binary, x binary, code binary"
     q = q.repartition(min(spread, -(-max(1, n if queries is not None else n // every) // query_block)))
-    qb = written(q.mapInArrow(block(query_block, False), kind), "queries").withColumn("q", F.monotonically_increasing_id())
+    qb = written(q.mapInArrow(trimmed(block(query_block, False)), kind), "queries").withColumn("q", F.monotonically_increasing_id())
     qb = written(qb.select("q", F.col("ids").alias("qids"), F.col("x").alias("qx")), "queryblocks")
-    vb = written(base.repartition(min(spread, -(-n // vector_block))).mapInArrow(block(vector_block, True), kind), "vectors")
+    vb = written(base.repartition(min(spread, -(-n // vector_block))).mapInArrow(trimmed(block(vector_block, True)), kind), "vectors")
     numbers = [r["q"] for r in qb.select("q").collect()]  # a number for each block of queries
     if not numbers:
         return spark.createDataFrame([], schema)
@@ -181,7 +183,7 @@ def nearest(vectors: DataFrame, *, id_col="vec_id", vec_col="embedding", k: int
                     ok = score.ravel() > -np.inf
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, o.shape[1])[ok]), pa.array(found.ravel()[ok]), pa.array(score.ravel()[ok])], ["query_id", "vec_id", "score"])
 
-    near = pairs.mapInArrow(search, "query_id long, vec_id long, score double")
+    near = pairs.mapInArrow(trimmed(search), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

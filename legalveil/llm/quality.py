@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import read, remainder
 from .fits import Adam, sigmoid
-from .textbytes import IS_SPACE, LOWER, prefix_hash, run_index, sorted_distinct, span_hash, text_chunks, word_spans
+from .textbytes import IS_SPACE, LOWER, prefix_hash, run_index, sorted_distinct, span_hash, text_chunks, trimmed, word_spans
 
 SAMPLE = 8_000  # most positives, and most unlabelled rows, that the fit sees
 HIDDEN = 24
@@ -153,7 +153,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, *, label="quality", id_col="doc_i
             for a, b, buf, off in text_chunks(batch["text"]):
                 yield pa.RecordBatch.from_arrays([batch["positive"][a:b], pa.array(list(shape_features(buf, off)), pa.list_(pa.float64()))], ["positive", "x"])
 
-    got = rows.mapInArrow(features, "positive int, x array<double>").toArrow()
+    got = rows.mapInArrow(trimmed(features), "positive int, x array<double>").toArrow()
     if not len(got):
         return None
     x = np.stack(got["x"].to_numpy(zero_copy_only=False))
@@ -187,7 +187,7 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="te
                     z = np.clip((shape_features(buf, off) - model["mean"]) / model["scale"], -4, 4)
                     yield pa.RecordBatch.from_arrays([batch["doc_id"][a:b], pa.array(sigmoid(_forward(model, z)[0]))], ["doc_id", "score"])
 
-        out = d.mapInArrow(score, f"doc_id {dict(d.dtypes)['doc_id']}, score double")
+        out = d.mapInArrow(trimmed(score), f"doc_id {dict(d.dtypes)['doc_id']}, score double")
     return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), divisor) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 

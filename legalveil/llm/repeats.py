@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import blobs
 from .common import among, read, written
-from .textbytes import U, prefix_hash, span_hash, text_chunks
+from .textbytes import U, prefix_hash, span_hash, text_chunks, trimmed
 
 LEAST = 200
 RUN = np.dtype([("h", "<u8"), ("u", "<u8"), ("k", "<i8"), ("p", "<u4"), ("n", "<u2"), ("f", "u1")])
@@ -138,7 +138,7 @@ def find_runs(docs: DataFrame, count: int, least: int) -> DataFrame:
         if held:
             yield from _run_records(*map(np.concatenate, zip(*got, strict=True)), count)
 
-    return docs.mapInArrow(scan, blobs.ROWS)
+    return docs.mapInArrow(trimmed(scan), blobs.ROWS)
 
 
 def settle_runs(runs: DataFrame, count: int) -> DataFrame:
@@ -225,7 +225,7 @@ def find_points(docs: DataFrame, count: int, least: int) -> DataFrame:
         if held:
             yield from flush(*map(np.concatenate, zip(*got, strict=True)))
 
-    return docs.mapInArrow(scan, blobs.ROWS)
+    return docs.mapInArrow(trimmed(scan), blobs.ROWS)
 
 
 def settle_points(points: DataFrame, count: int) -> DataFrame:
@@ -307,7 +307,7 @@ def drop_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", least: in
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     rest = flagged.filter("maybe").drop("maybe").join(marks.hint("shuffle_hash"), "k", "left").select("doc_id", "text", "packed", *(["row"] if carry else []))
-    return clean.unionByName(rest.mapInArrow(cut, clean.schema))
+    return clean.unionByName(rest.mapInArrow(trimmed(cut), clean.schema))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

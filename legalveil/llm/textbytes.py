@@ -6,7 +6,9 @@ about CHUNK bytes (one text at least), which bounds the arrays made for them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,21 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def trimmed(scan: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """scan, behind which the worker gives back the memory that it no longer uses: Spark keeps idle
+    workers, and what a big task freed would else stay with them."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from scan(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return run
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: every bit of the result depends on every bit of x."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
