@@ -168,10 +168,10 @@ def test_gold_of_two_entities_is_refused(spark):
 
 def test_gold_reader(spark, tmp_path):
     (tmp_path / "set").mkdir()
-    (tmp_path / "set" / "one.txt").write_text("Il ricorrente Callisto Dondarelli, di Lodi.")
+    (tmp_path / "set" / "one.txt").write_text("Il ricorrente Callisto Dondarelli,\ndi Lodi.")
     (tmp_path / "set" / "one.gold.json").write_text(json.dumps({"source": "x", "must_remove": ["Callisto Dondarelli", "Lodi"], "must_keep": ["ricorrente"], "must_remove_entities": [{"kind": "name", "role": "Ricorrente", "values": ["Callisto Dondarelli"]}]}))
     texts, gold = batch.read_gold(spark, str(tmp_path))
-    assert [(r["source"], r["text"][:2]) for r in texts.collect()] == [("set", "Il")]
+    assert [(r["source"], r["text"][-5:]) for r in texts.collect()] == [("set", "Lodi.")]
     assert sorted((r["entity"], r["surface"], r["remove"]) for r in gold.collect()) == [("Lodi", "Lodi", True), ("e0", "Callisto Dondarelli", True), ("ricorrente", "ricorrente", False)]
 
 
