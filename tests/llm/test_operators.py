@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -52,6 +53,35 @@ def test_jaccard_classes_match_brute_force(docs):
     assert got == {i: (len(sets[i]), find(i)) for i in range(len(sets))}
 
 
+@pytest.mark.parametrize("sets", [60, 2500])
+def test_linked_in_a_cluster_of_many_that_do_not_link(sets):
+    """Also in time: texts around one original, most of which do not link, took a minute for 2,300."""
+    r = np.random.default_rng(3)
+    draw = lambda n: r.integers(0, 1 << 63, n, dtype=np.uint64)
+    base, got = draw(140), []
+    for _ in range(sets):
+        kept = r.random(140) > r.choice([0.02, 0.1, 0.3, 0.5])
+        got.append(np.unique(np.concatenate([base[kept], draw(int((~kept).sum()))])))
+    known = np.where(np.arange(sets) % 10, np.arange(sets), 0)
+    began = time.process_time()
+    root = ngramjoin.linked(got, known=known)
+    assert time.process_time() - began < 15
+    want = np.arange(sets)
+    holds = np.zeros((sets, 140), np.float32)
+    n = np.array([len(s) for s in got])
+    place = {int(t): i for i, t in enumerate(base)}
+    for i, s in enumerate(got):
+        holds[i, [place[t] for t in s.tolist() if t in place]] = 1
+    both = holds @ holds.T  # what else they hold is their own
+    link = (100 * both >= 75 * (n[:, None] + n[None] - both)) | (known[:, None] == known[None])
+    while True:
+        low = np.where(link, want[None], sets).min(axis=1)
+        if (low == want).all():
+            break
+        want = low
+    assert (root == want).all()
+
+
 def test_repeats_match_brute_force(docs):
     raw = [(t or "").encode() for t in texts()]
     seen = Counter(b[p : p + 200] for b in raw for p in range(len(b) - 199))
