@@ -82,6 +82,17 @@ def test_linked_in_a_cluster_of_many_that_do_not_link(sets):
     assert (root == want).all()
 
 
+def test_a_cluster_of_texts_that_share_little_is_dealt_anew(spark):
+    texts = [" ".join(f"{c}{i}" for c in "abcdefghijkl" for _ in "xy") for i in range(40)]
+    texts += [t + " z" for t in texts[:5]]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("t", F.xxhash64("text"))
+    facts = ngramjoin.set_facts(d, 5).filter("part < 0")
+    one = facts.select("f", F.col("doc_id").alias("rep"), "n", F.lit(7).cast("long").alias("cluster"))
+    left = {r["rep"]: r["cluster"] for r in ngramjoin.narrowed(one, d, 5, 75, 300, 4).collect()}
+    assert sorted(left) == [0, 1, 2, 3, 4, 40, 41, 42, 43, 44]
+    assert all(left[i] == left[40 + i] for i in range(5)) and len(set(left.values())) == 5
+
+
 def test_repeats_match_brute_force(docs):
     raw = [(t or "").encode() for t in texts()]
     seen = Counter(b[p : p + 200] for b in raw for p in range(len(b) - 199))
