@@ -59,14 +59,11 @@ class Model:
         many = [p for p in self.ids if len(p) > 1]
         if any(b == SPACE != a for p in many for a, b in zip(p, p[1:], strict=False)):
             raise ValueError("a piece holds white space after another character")
-        used = {c for p in many for c in p}
-        after = {b for p in many for a, b in zip(p, p[1:], strict=False) if a.isalpha() or ord(a) > 127}
-        self.alone = np.zeros(256, bool)  # bytes that are a unit by themselves
-        self.apart = np.zeros(256, bool)  # bytes that never follow a letter in a piece
-        for c in range(128):
-            if c != 32:
-                self.alone[c] = chr(c) not in used
-                self.apart[c] = chr(c) not in after and not chr(c).isalpha()
+        self.cuts = np.zeros(1 << 16, bool)  # pairs of bytes, the second of which begins a unit: no piece holds both
+        pair = np.arange(1 << 16)
+        self.cuts[(pair & 0xC0) != 0x80] = True
+        for a, b in {x for p in many for x in zip(p.replace(SPACE, " "), p[1:].replace(SPACE, " "), strict=False)}:
+            self.cuts[a.encode()[-1] << 8 | b.encode()[0]] = False
         out = [p.replace(SPACE, " ").encode() for p in self.pieces]
         for b, i in self.bytes.items():
             out[i] = bytes([b])
@@ -94,6 +91,7 @@ class Model:
             self.heads[span_hash(prefix_hash(np.frombuffer(b"".join(long), np.uint8)), ends - [len(x) for x in long], ends) >> U(64 - MAP_BITS)] = True
         self.by_byte = np.array([self.bytes.get(b, self.unknown) for b in range(256)], np.int32)
         self.rank = {p: -self.scores[i] for p, i in self.ids.items()}
+        self.order = np.unique(-np.array(self.scores, float), return_inverse=True)[1]  # of each piece, by rank
         self.least = 2 if self.bpe else 1  # symbols of the shortest edge
         self.spans = [np.array([(i, k) for i in range(n) for k in range(self.least, n - i + 1)], np.int64).reshape(-1, 2) for n in range(self.longest)]
 
@@ -178,9 +176,7 @@ def cut_units(buf: np.ndarray, off: np.ndarray, model: Model) -> tuple[np.ndarra
     if not n:
         return np.empty(0, int), np.empty(0, int), np.empty(0, U), np.zeros(len(off), int)
     start = np.zeros(n, bool)
-    space, alone = buf == 32, model.alone[buf]
-    letter = (buf >= 128) | ((buf | 32) - 97 < 26)
-    start[1:] = (space[1:] & ~space[:-1]) | alone[1:] | alone[:-1] | (model.apart[buf[1:]] & letter[:-1])
+    start[1:] = model.cuts[buf[:-1].astype(np.uint16) << 8 | buf[1:]]
     start[off[:-1][off[1:] > off[:-1]]] = True
     a = np.flatnonzero(start)
     b = np.concatenate((a[1:], [n]))
@@ -217,9 +213,9 @@ def blanked(texts: pa.Array, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarr
 
 
 def substrings(buf: np.ndarray, start: np.ndarray, end: np.ndarray, m: Model, block: int) -> Iterator[tuple]:
-    """(units, n, offsets, at, hashes) of blocks of about ``block`` substrings at most, of units in a
-    row: the number of each substring within its unit, and its hash; -1 and 0, at the head of a
-    unit's first block, stand for the unit itself."""
+    """(units, n, of, at, hashes) of blocks of about ``block`` substrings at most, of units in a row:
+    the units that begin in the block and their symbols, and the unit of each substring (-1: the one
+    before the block's first, which goes on), its number within the unit, and its hash."""
     raw, size = gathered(buf, start, end - start, np.arange(len(start)))
     ends = np.cumsum(size)
     symbol = np.flatnonzero((raw & 0xC0) != 0x80)
@@ -234,6 +230,8 @@ def substrings(buf: np.ndarray, start: np.ndarray, end: np.ndarray, m: Model, bl
     a = 0
     while a < len(unit):
         b = max(a + 1, int(np.searchsorted(total, total[a] + block, "right")) - 1)
+        if b < len(unit) and first[unit[b]] > a:  # a block ends with a unit, unless one has more
+            b = int(first[unit[b]])
         # the short ones, and the longer ones where a longer piece begins like that
         few = np.minimum(per[a:b], HEAD - m.least + 1)
         far = a + np.flatnonzero(per[a:b] > few)
@@ -250,126 +248,173 @@ def substrings(buf: np.ndarray, start: np.ndarray, end: np.ndarray, m: Model, bl
         order = np.argsort(number, kind="stable")
         number, h = number[order], h[order]
         of = unit[np.searchsorted(total, number, "right") - 1]
-        at = number - total[first[:-1][of]]
-        u = np.arange(unit[a], unit[b - 1] + 1)
-        lead = first[:-1][u] >= a
-        count = np.bincount(of - u[0], minlength=len(u))
-        offsets = np.concatenate(([0], np.cumsum(count + lead)))
-        place = np.arange(len(h)) + np.repeat(np.cumsum(lead), count)
-        out, which = np.zeros(offsets[-1], U), np.full(offsets[-1], -1, np.int32)
-        out[place], which[place] = h, at
-        yield u, n[u], offsets, which, out
+        u = np.arange(unit[a] + (first[unit[a]] < a), unit[b - 1] + 1)
+        yield u, n[u], of - (u[0] if len(u) else unit[a] + 1), number - total[first[:-1][of]], h
         a = b
 
 
-def task_units(shared, most: int, kind: str, block: int):
-    """Rows (what, doc_id, text, key, unit, n, at, subs): the units that a task has not met (0)
-    with their substrings, ahead of the texts that hold them (1), and 2 where it begins anew."""
-    names = ["what", "doc_id", "text", "key", "unit", "n", "ats", "subs"]
+def packed(key: np.ndarray, size: np.ndarray, n: np.ndarray, flat: np.ndarray, of: np.ndarray, at: np.ndarray) -> bytes:
+    """The units of a block (keys, bytes, symbols) and its substrings (unit, number) as one value."""
+    head = np.array([len(key), len(flat), len(of)], np.int64)
+    return b"".join(x.tobytes() for x in (head, key, size.astype(np.int32), n.astype(np.int32), flat, of.astype(np.int32), at.astype(np.int32)))
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, ...]:
+    """(key, size, n, flat, of, at) of packed(); of and at are empty where only_units() made data."""
+    units, size, subs = np.frombuffer(data, np.int64, 3).tolist()
+    out, at = [], 24
+    for kind, count in ((U, units), (np.int32, units), (np.int32, units), (np.uint8, size), (np.int32, subs), (np.int32, subs)):
+        count = count if at < len(data) else 0
+        out.append(np.frombuffer(data, kind, count, at) if count else np.empty(0, kind))
+        at += count * np.dtype(kind).itemsize
+    return tuple(out)
+
+
+def only_units(data: bytes) -> bytes:
+    units, size, _ = np.frombuffer(data, np.int64, 3).tolist()
+    return data[: 24 + 16 * units + size]
 
-    def listed(offsets: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
-        return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(v)) for v in values]
 
-    def rows(what: int, docs, id_type, text_type, count: int) -> pa.RecordBatch:
-        own = docs or [pa.nulls(count, id_type), pa.nulls(count, text_type)]
-        subs = listed(np.arange(count + 1), np.full(count, -1, np.int32), np.zeros(count, np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(count, what, np.int8)), *own, pa.nulls(count, pa.int64()), pa.nulls(count, pa.binary()), pa.array(np.zeros(count, np.int32)), *subs], names)
+#: What a row is, where it is no edge: a block of units, a text, the place where a task begins anew.
+UNITS, TEXT, ANEW = -1, -2, -3
+KINDS = {UNITS: 0, TEXT: 1, ANEW: 2}  # the hashes that stand for them in the piece table
+
+
+def task_units(shared, most: int, kind: str, block: int):
+    """Rows (doc_id, data, subs): blocks of units that the task has not met, with the hashes of their
+    substrings, ahead of the texts that hold them. The first of subs says what the row is."""
+    names = ["doc_id", "data", "subs"]
+
+    def rows(what: int, ids: pa.Array, data: pa.Array) -> pa.RecordBatch:
+        subs = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32)), pa.array(np.full(len(ids), KINDS[what], np.int64)))
+        return pa.RecordBatch.from_arrays([ids, data, subs], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, seen = shared.value, np.empty(0, U)
         for batch in batches:
-            id_type, text_type = batch["doc_id"].type, batch["text"].type
+            none = pa.nulls(1, batch["doc_id"].type)
             for a, b, buf, off in text_chunks(batch["text"]):
                 buf, off = blanked(batch["text"][a:b], buf, off)
                 s, e, key, _ = cut_units(buf, off, m)
                 key, at = np.unique(key, return_index=True)
                 if len(seen) and len(seen) + len(key) > most:
                     seen = seen[:0]
-                    yield rows(2, None, id_type, text_type, 1)
+                    yield rows(ANEW, none, pa.nulls(1, pa.binary()))
                 if len(seen):
                     place = np.minimum(np.searchsorted(seen, key), len(seen) - 1)
                     new = seen[place] != key
                     key, at = key[new], at[new]
                 seen = np.sort(np.concatenate([seen, key]), kind="stable")
                 for i in range(0, len(key), 8192):
-                    k, w = key[i : i + 8192].view(np.int64), at[i : i + 8192]
-                    for u, n, offsets, which, hashes in substrings(buf, s[w], e[w], m, block):
+                    k, w = key[i : i + 8192], at[i : i + 8192]
+                    for u, n, of, which, hashes in substrings(buf, s[w], e[w], m, block):
                         flat, size = gathered(buf, s[w], e[w] - s[w], u)
-                        ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-                        unit = pa.BinaryArray.from_buffers(pa.binary(), len(u), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(u), np.int8)), pa.nulls(len(u), id_type), pa.nulls(len(u), text_type), pa.array(k[u]), unit, pa.array(n.astype(np.int32)), *listed(offsets, which, hashes.view(np.int64))], names)
-                yield rows(1, [batch["doc_id"][a:b], batch["text"][a:b]], id_type, text_type, b - a)
+                        subs = np.concatenate((np.array([KINDS[UNITS]], U), hashes)).view(np.int64)
+                        listed = pa.ListArray.from_arrays(pa.array([0, len(subs)], pa.int32()), pa.array(subs))
+                        yield pa.RecordBatch.from_arrays([none, pa.array([packed(k[u], size, n, flat, of, which)], pa.binary()), listed], names)
+                yield rows(TEXT, batch["doc_id"][a:b], batch["text"][a:b].cast(pa.binary()))
 
-    return trimmed(run), f"what byte, doc_id {kind}, text string, key long, unit binary, n int, ats array<int>, subs array<long>"
+    return trimmed(run), f"doc_id {kind}, data binary, subs array<long>"
 
 
 def edges_of(rows: DataFrame, model: Model) -> DataFrame:
-    """The rows, each with at = -1, and behind each unit its lattice: a row (at, cost) for each of
-    its substrings, by number, that is a piece."""
+    """The rows (doc_id, data, hit), and behind each block of units its lattice: a row with only hit,
+    the place of a substring in the block (from 1) and the piece that it is, 32 bits each. Few and
+    narrow columns: Spark adds up the size of each for each row that goes to Python."""
     spark = rows.sparkSession
     own = [(i, h) for i, h in zip(model.hash_ids.tolist(), model.hashes.view(np.int64).tolist(), strict=True) if len(model.pieces[i]) >= model.least]
-    table = spark.createDataFrame(pa.table({"sub": pa.array([0, *(h for _, h in own)], pa.int64()), "cost": pa.array([0.0, *(-model.scores[i] for i, _ in own)])}).to_pandas())
-    e = rows.select("what", "doc_id", "text", "key", "unit", "n", "ats", F.posexplode("subs").alias("pos", "sub"))
-    return e.join(F.broadcast(table), "sub").select("what", "doc_id", "text", "key", F.when(F.col("sub") == 0, F.col("unit")).alias("unit"), "n", F.get("ats", "pos").alias("at"), "cost")
+    table = pa.table({"sub": pa.array([*KINDS.values(), *(h for _, h in own)], pa.int64()), "piece": pa.array([*KINDS, *(i for i, _ in own)], pa.int64())})
+    e = rows.select("doc_id", "data", F.posexplode("subs").alias("pos", "sub")).join(F.broadcast(spark.createDataFrame(table.to_pandas())), "sub")
+    hit = F.when(F.col("piece") < 0, F.col("piece")).otherwise(F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("piece")))
+    return e.select("doc_id", F.when(F.col("piece") < 0, F.col("data")).alias("data"), hit.alias("hit"))
 
 
 EDGES = "ats array<int>, ends array<long>, mids array<long>, costs array<double>"
 
 
+def runs(what: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, last + 1) of the runs of equal values."""
+    edge = np.concatenate(([0], np.flatnonzero(what[1:] != what[:-1]) + 1, [len(what)])) if len(what) else np.zeros(1, int)
+    return zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)
+
+
+def best_first(of: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The order by unit, then rank, then place."""
+    low = len(of).bit_length()
+    if not len(of) or int(of.max()).bit_length() + int(rank.max()).bit_length() + low > 63:
+        return np.lexsort((rank, of))
+    mid = low + int(rank.max()).bit_length()
+    return np.sort(of << mid | rank << low | np.arange(len(of))) & ((1 << low) - 1)
+
+
 def grouped(shared, kind: str, short: int):
-    """Rows (what, doc_id, text, key, unit, n, ats, ends, mids, costs): the edges that follow a unit
-    as its arrays, in the order of the fold. For merges an edge has its ends and what lies between
+    """Rows (doc_id, data, n, ats, ends, mids, costs): one for each unit, n its symbols, with its
+    edges as arrays, in the order of the fold; the first of a block has the block's data. Other rows
+    have n < 0, which says what they are. For merges an edge has its ends and what lies between
     them as bits, from the word ``at`` (null: all from the first); for Viterbi ``at`` and ``ends``
     are its first and last boundary."""
-    names = ["what", "doc_id", "text", "key", "unit", "n", "ats", "ends", "mids", "costs"]
-
-    def arrays(m: Model, batch: pa.RecordBatch) -> pa.RecordBatch:
-        at, n, cost = (batch[c].to_numpy(zero_copy_only=False) for c in ("at", "n", "cost"))
-        head, e = np.flatnonzero(at < 0), np.flatnonzero(at >= 0)
-        of, cost = np.cumsum(at < 0)[e] - 1, cost[e]
-        a, size = m.span(at[e].astype(np.int64), n[e].astype(np.int64))
+    names = ["doc_id", "data", "n", "ats", "ends", "mids", "costs"]
+    empty = [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64())]
+
+    def arrays(m: Model, blocks: list, id_type: pa.DataType) -> pa.RecordBatch:
+        data, units, of, at, piece = [], 0, [], [], []
+        n = np.concatenate([x[2] for _, x, _ in blocks]).astype(np.int64)
+        for own, x, hits in blocks:
+            hit = np.concatenate(hits) if hits else np.empty(0, np.int64)
+            place = (hit >> 32) - 1
+            of.append(x[4][place].astype(np.int64) + units)
+            at.append(x[5][place].astype(np.int64))
+            piece.append(hit & 0xFFFFFFFF)
+            if len(x[0]):
+                data += [only_units(own), *[None] * (len(x[0]) - 1)]
+            units += len(x[0])
+        of, at, piece = np.concatenate(of), np.concatenate(at), np.concatenate(piece)
+        a, size = m.span(at, n[of])
         if m.bpe:
-            order = np.lexsort((a, cost, of))
-            of, a, size, cost = of[order], a[order], size[order], cost[order]
-            at = np.where(n[head][of] <= short, 0, a // m.word)
+            order = best_first(of, m.order[piece])  # edges come by start: equal ones stay so
+            of, a, size = of[order], a[order], size[order]
+            at = np.where(n[of] <= short, 0, a // m.word)
             low = (a - at * m.word).astype(U)
             ends = (U(1) << low) | (U(1) << (low + size.astype(U)))
             mid = ((U(1) << (size - 1).astype(U)) - U(1)) << (low + U(1))
         else:
             # a symbol that is no piece costs more than any; so does each, beside its own edge
-            units = np.repeat(np.arange(len(head)), n[head])
-            place = np.arange(len(units)) - np.repeat(np.cumsum(n[head]) - n[head], n[head])
+            owner = np.repeat(np.arange(units), n)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
             low_cost = max(m.rank.values(), default=0.0) + 10
-            of, a, size = np.concatenate([of, units]), np.concatenate([a, place]), np.concatenate([size, np.ones(len(units), np.int64)])
-            cost = np.concatenate([cost, np.full(len(units), low_cost)])
+            of, a, size = np.concatenate([of, owner]), np.concatenate([a, place]), np.concatenate([size, np.ones(len(owner), np.int64)])
+            cost = np.concatenate([-np.array(m.scores, float)[piece], np.full(len(owner), low_cost)])
             order = np.lexsort((cost, a, a + size, of))
             of, at, size, cost = of[order], a[order], size[order], cost[order]
             ends, mid = (at + size).astype(U), np.zeros(len(at), U)
-        first = np.searchsorted(of, np.arange(len(head) + 1)).astype(np.int32)
-        own = batch.take(pa.array(head)) if len(head) < batch.num_rows else batch
-        listed = lambda v: pa.ListArray.from_arrays(pa.array(first), pa.array(v))
-        words = listed(at.astype(np.int32)) if not m.bpe or (n[head] > short).any() else pa.nulls(len(head), pa.list_(pa.int32()))
-        bits = [listed(mid.view(np.int64)), pa.nulls(len(head), pa.list_(pa.float64()))] if m.bpe else [pa.nulls(len(head), pa.list_(pa.int64())), listed(cost)]
-        return pa.RecordBatch.from_arrays([own["what"], own["doc_id"], own["text"], own["key"], own["unit"], own["n"], words, listed(ends.view(np.int64)), *bits], names)
+        first = pa.array(np.searchsorted(of, np.arange(units + 1)).astype(np.int32))
+        listed = lambda v: pa.ListArray.from_arrays(first, pa.array(v))
+        words = listed(at.astype(np.int32)) if not m.bpe or (n > short).any() else pa.nulls(units, empty[0])
+        bits = [listed(mid.view(np.int64)), pa.nulls(units, empty[3])] if m.bpe else [pa.nulls(units, empty[2]), listed(cost)]
+        return pa.RecordBatch.from_arrays([pa.nulls(units, id_type), pa.array(data, pa.binary()), pa.array(n.astype(np.int32)), words, listed(ends.view(np.int64)), *bits], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, left = shared.value, []
+        m, blocks = shared.value, []
         for batch in batches:
-            head = np.flatnonzero(batch["at"].to_numpy() < 0)
-            if len(head) and head[-1] == 0 and not left:
-                left = [batch]
-            elif len(head):
-                done = pa.Table.from_batches([*left, batch.slice(0, head[-1])]).combine_chunks().to_batches()
-                left = [batch.slice(head[-1])]
-                for b in done:
-                    yield arrays(m, b)
-            else:
-                left.append(batch)
-        if left:
-            for b in pa.Table.from_batches(left).combine_chunks().to_batches():
-                yield arrays(m, b)
-
-    return trimmed(run), f"what byte, doc_id {kind}, text string, key long, unit binary, n int, {EDGES}"
+            hit, id_type = batch["hit"].to_numpy(), batch["doc_id"].type
+            what = np.minimum(hit, 0)
+            for i, j in runs(what):
+                if what[i] == 0:
+                    blocks[-1][2].append(hit[i:j].copy())
+                    continue
+                for data in batch["data"][i:j].to_pylist() if what[i] == UNITS else [None]:
+                    own = unpacked(data) if data else None
+                    if blocks and not (own and len(own[4]) and own[4][0] < 0):  # else its first unit goes on
+                        yield arrays(m, blocks, id_type)
+                        blocks = []
+                    if own:
+                        blocks.append((data, own, []))
+                if what[i] != UNITS:
+                    yield pa.RecordBatch.from_arrays([batch["doc_id"][i:j], batch["data"][i:j], pa.array(np.full(j - i, what[i], np.int32)), *(pa.nulls(j - i, t) for t in empty)], names)
+        if blocks:
+            yield arrays(m, blocks, id_type)
+
+    return trimmed(run), f"doc_id {kind}, data binary, n int, {EDGES}"
 
 
 def folded(items: DataFrame, model: Model, short: int, in_order: bool) -> DataFrame:
@@ -395,11 +440,11 @@ def folded(items: DataFrame, model: Model, short: int, in_order: bool) -> DataFr
             one = f"aggregate(sequence(1, n), {whole}, (s, _) -> s & ~coalesce(get(mids, {best('{c}', joins('{s}', 's'))}), 0L))"
             many = f"aggregate(sequence(1, n), {words}, (s, _) -> aggregate(array({best('{c}', joins('{s}', both))}), s, (s, i) -> if(i is null, s, {clear})))"
         fold = f"if(n <= {short}, array({one}), {many})"
-    return items.select("what", "doc_id", "text", "key", "unit", "n", F.expr(f"if(what = 0, {fold}, null)").alias("cuts"))
+    return items.select("doc_id", "data", "n", F.expr(f"if(n >= 0, {fold}, null)").alias("cuts"))
 
 
-def unit_ids(units: pa.Array, n: np.ndarray, cuts: pa.Array, m: Model, short: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of the units one after another, the number of each) from their cuts."""
+def unit_ids(buf: np.ndarray, n: np.ndarray, cuts: pa.Array, m: Model, short: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the units one after another, the number of each) from their bytes and cuts."""
     offsets, flat = cuts.offsets.to_numpy(), cuts.flatten().to_numpy().view(U)
     offsets = offsets - offsets[0]
     whole = np.cumsum(n) - n  # the first symbol of each unit among all
@@ -424,7 +469,6 @@ def unit_ids(units: pa.Array, n: np.ndarray, cuts: pa.Array, m: Model, short: in
         end, unit = np.array(ends, np.int64), np.array(owner, np.int64)
     start = np.concatenate(([0], end[:-1]))
     start[np.concatenate(([True], unit[1:] != unit[:-1]))[: len(unit)]] = 0
-    buf = np.frombuffer(b"".join(units.to_pylist()), np.uint8)
     symbol = np.concatenate((np.flatnonzero((buf & 0xC0) != 0x80), [len(buf)]))
     a, b = symbol[whole[unit] + start], symbol[whole[unit] + end]
     h = span_hash(prefix_hash(buf), a, b)
@@ -465,17 +509,35 @@ def _encoder(shared, short: int):
         nothing = (np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))
         keys, start, count, flat = nothing  # sorted keys; where the ids of each stand, and how many
         fresh: list[tuple] = []
+        left: list[pa.RecordBatch] = []  # units whose block may go on
+
+        def met() -> None:
+            rows = pa.Table.from_batches(left).combine_chunks()
+            own = [unpacked(x) for x in rows["data"].drop_null().to_pylist()]
+            key, flat = (np.concatenate([x[i] for x in own]) for i in (0, 3))
+            got, many = unit_ids(flat, rows["n"].to_numpy().astype(np.int64), rows["cuts"].chunk(0), m, short)
+            fresh.append((key, many, got))
+            left.clear()
+
         for batch in batches:
-            what = batch["what"].to_numpy()
-            edge = np.concatenate(([0], np.flatnonzero(what[1:] != what[:-1]) + 1, [len(what)]))
-            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            what = np.minimum(batch["n"].to_numpy(), 0)
+            for i, j in runs(what):
                 part = batch.slice(i, j - i)
-                if what[i] == 2:
+                if what[i] == 0:
+                    heads = np.flatnonzero(part["data"].is_valid().to_numpy(zero_copy_only=False))
+                    if len(heads):
+                        if heads[-1]:
+                            left.append(part.slice(0, heads[-1]))
+                        if left:
+                            met()
+                        part = part.slice(heads[-1])
+                    left.append(part)
+                    continue
+                if left:
+                    met()
+                if what[i] == ANEW:
                     keys, start, count, flat = nothing
                     fresh = []
-                elif what[i] == 0:
-                    got, many = unit_ids(part["unit"], part["n"].to_numpy().astype(np.int64), part["cuts"], m, short)
-                    fresh.append((part["key"].to_numpy().view(U), many, got))
                 else:
                     if fresh:
                         more = np.concatenate([x[1] for x in fresh])
@@ -483,8 +545,8 @@ def _encoder(shared, short: int):
                         keys, count, flat = np.concatenate([keys, *(x[0] for x in fresh)]), np.concatenate([count, more]), np.concatenate([flat, *(x[2] for x in fresh)])
                         order = np.argsort(keys, kind="stable")
                         keys, start, count, fresh = keys[order], start[order], count[order], []
-                    for a, b, buf, off in text_chunks(part["text"]):
-                        padded, at = blanked(part["text"][a:b], buf, off)
+                    for a, b, buf, off in text_chunks(part["data"]):
+                        padded, at = blanked(part["data"][a:b], buf, off)
                         _, _, key, first = cut_units(padded, at, m)
                         place = np.searchsorted(keys, key)
                         if len(key) and (keys[np.minimum(place, len(keys) - 1)] != key).any():

@@ -119,6 +119,22 @@ def test_pieces_match_the_library_and_round_trip(docs, options):
     assert all(r["ids"] == sp.encode(r["text"] or "") and r["round_trip"] for r in rows)
 
 
+def test_units_end_wherever_no_piece_goes_on():
+    m = pieces.Model(["<unk>", "▁", "a", "b", "c", "é", "ab", "bc", "éa", "▁▁", "▁a"], [0, *range(-1, -11, -1)], [2, *[1] * 10])
+    text = " abcac  éaéb a$b ".encode()
+    start, end, _, first = pieces.cut_units(np.frombuffer(text, np.uint8), np.array([0, len(text)]), m)
+    assert [text[i:j].decode() for i, j in zip(start, end, strict=True)] == [" abc", "a", "c", "  ", "éa", "é", "b", " a", "$", "b", " "] and first.tolist() == [0, 11]
+
+
+def test_few_columns_go_to_python_for_each_edge(spark):
+    # Spark adds up the sizes of all columns for each row that goes there
+    d = spark.createDataFrame([(1, "the words of the text")], "doc_id long, text string")
+    m = pieces.load_model()
+    rows = pieces.edges_of(d.mapInArrow(*pieces.task_units(spark.sparkContext.broadcast(m), pieces.SEEN, "long", pieces.BLOCK)), m).collect()
+    assert all(len(r) <= 3 for r in rows) and [r["hit"] for r in rows if r["data"] is not None] == [pieces.UNITS, pieces.TEXT]
+    assert sum(r["hit"] >= 0 for r in rows) == len(rows) - 2 > 10
+
+
 def _cheapest(unit, m):
     """By brute force: the least cost of any way to cut the unit, a symbol that is no piece last."""
     low = max(m.rank.values()) + 10
