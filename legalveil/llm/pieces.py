@@ -329,7 +329,7 @@ def edges_of(rows: DataFrame, model: Model) -> DataFrame:
     return e.select("doc_id", F.when(F.col("piece") < 0, F.col("data")).alias("data"), hit.alias("hit"))
 
 
-EDGES = "ats array<int>, ends array<long>, mids array<long>, costs array<double>"
+EDGES = "ats array<int>, ends array<long>, costs array<double>"
 
 
 def runs(what: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -348,13 +348,13 @@ def best_first(of: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def grouped(shared, kind: str, short: int):
-    """Rows (doc_id, data, n, ats, ends, mids, costs): one for each unit, n its symbols, with its
+    """Rows (doc_id, data, n, ats, ends, costs): one for each unit, n its symbols, with its
     edges as arrays, in the order of the fold; the first of a block has the block's data. Other rows
-    have n < 0, which says what they are. For merges an edge has its ends and what lies between
-    them as bits, from the word ``at`` (null: all from the first); for Viterbi ``at`` and ``ends``
-    are its first and last boundary."""
-    names = ["doc_id", "data", "n", "ats", "ends", "mids", "costs"]
-    empty = [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64())]
+    have n < 0, which says what they are. For merges an edge has its ends as bits, from the word
+    ``at`` (null: all from the first); for Viterbi ``at`` and ``ends`` are its first and last
+    boundary."""
+    names = ["doc_id", "data", "n", "ats", "ends", "costs"]
+    empty = [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.float64())]
 
     def arrays(m: Model, blocks: list, id_type: pa.DataType) -> pa.RecordBatch:
         data, units, of, at, piece = [], 0, [], [], []
@@ -376,7 +376,6 @@ def grouped(shared, kind: str, short: int):
             at = np.where(n[of] <= short, 0, a // m.word)
             low = (a - at * m.word).astype(U)
             ends = (U(1) << low) | (U(1) << (low + size.astype(U)))
-            mid = ((U(1) << (size - 1).astype(U)) - U(1)) << (low + U(1))
         else:
             # a symbol that is no piece costs more than any; so does each, beside its own edge
             owner = np.repeat(np.arange(units), n)
@@ -386,12 +385,12 @@ def grouped(shared, kind: str, short: int):
             cost = np.concatenate([-np.array(m.scores, float)[piece], np.full(len(owner), low_cost)])
             order = np.lexsort((cost, a, a + size, of))
             of, at, size, cost = of[order], a[order], size[order], cost[order]
-            ends, mid = (at + size).astype(U), np.zeros(len(at), U)
+            ends = (at + size).astype(U)
         first = pa.array(np.searchsorted(of, np.arange(units + 1)).astype(np.int32))
         listed = lambda v: pa.ListArray.from_arrays(first, pa.array(v))
         words = listed(at.astype(np.int32)) if not m.bpe or (n > short).any() else pa.nulls(units, empty[0])
-        bits = [listed(mid.view(np.int64)), pa.nulls(units, empty[3])] if m.bpe else [pa.nulls(units, empty[2]), listed(cost)]
-        return pa.RecordBatch.from_arrays([pa.nulls(units, id_type), pa.array(data, pa.binary()), pa.array(n.astype(np.int32)), words, listed(ends.view(np.int64)), *bits], names)
+        costs = pa.nulls(units, empty[2]) if m.bpe else listed(cost)
+        return pa.RecordBatch.from_arrays([pa.nulls(units, id_type), pa.array(data, pa.binary()), pa.array(n.astype(np.int32)), words, listed(ends.view(np.int64)), costs], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, blocks = shared.value, []
@@ -429,16 +428,17 @@ def folded(items: DataFrame, model: Model, short: int, in_order: bool) -> DataFr
             s -> concat(transform(s.done, d -> cast(d.f as long)), array(cast(s.f as long))))"""
     else:
         w = model.word
-        joins = "(({s}) & ends[i]) = ends[i] and bit_count(({s}) & mids[i]) = 1".replace
-        whole, words = "shiftleft(1L, n + 1) - 1L", f"transform(sequence(0, n div {w} + 2), j -> shiftleft(1L, {w}) - 1L)"
-        both = f"s[ats[i]] | shiftleft(s[ats[i] + 1], {w})"
-        clear = f"transform(s, (v, j) -> if(j = ats[i], v & ~mids[i], if(j = ats[i] + 1, v & ~shiftrightunsigned(mids[i], {w}), v)))"
-        one = f"aggregate({each}, {whole}, (s, i) -> if({joins('{s}', 's')}, s & ~mids[i], s))"
-        many = f"aggregate({each}, {words}, (s, i) -> if({joins('{s}', both)}, {clear}, s))"
+        mid = "({e} - 3L * ({e} & -{e}))".replace  # the bits between the two of e
+        joins = lambda s, e: f"(({s}) & {e}) = {e} and bit_count(({s}) & {mid('{e}', e)}) = 1"
+        whole, words = "~shiftleft(-1L, n + 1)", f"transform(sequence(0, n div {w} + 2), j -> shiftleft(1L, {w}) - 1L)"
+        both, own = f"s[ats[i]] | shiftleft(s[ats[i] + 1], {w})", mid("{e}", "ends[i]")
+        clear = f"transform(s, (v, j) -> if(j = ats[i], v & ~{own}, if(j = ats[i] + 1, v & ~shiftrightunsigned({own}, {w}), v)))"
+        one = f"aggregate(ends, {whole}, (s, e) -> if({joins('s', 'e')}, s & ~{mid('{e}', 'e')}, s))"
+        many = f"aggregate({each}, {words}, (s, i) -> if({joins(both, 'ends[i]')}, {clear}, s))"
         if not in_order:  # the best edge whose halves are whole, until none is left
-            best = "get(filter({each}, i -> {c}), 0)".replace("{each}", each).replace
-            one = f"aggregate(sequence(1, n), {whole}, (s, _) -> s & ~coalesce(get(mids, {best('{c}', joins('{s}', 's'))}), 0L))"
-            many = f"aggregate(sequence(1, n), {words}, (s, _) -> aggregate(array({best('{c}', joins('{s}', both))}), s, (s, i) -> if(i is null, s, {clear})))"
+            best = lambda s: f"get(filter({each}, i -> {joins(s, 'ends[i]')}), 0)"
+            one = f"aggregate(sequence(1, n), {whole}, (s, _) -> aggregate(array({best('s')}), s, (s, i) -> if(i is null, s, s & ~{own})))"
+            many = f"aggregate(sequence(1, n), {words}, (s, _) -> aggregate(array({best(both)}), s, (s, i) -> if(i is null, s, {clear})))"
         fold = f"if(n <= {short}, array({one}), {many})"
     return items.select("doc_id", "data", "n", F.expr(f"if(n >= 0, {fold}, null)").alias("cuts"))
 

@@ -126,6 +126,15 @@ def test_units_end_wherever_no_piece_goes_on():
     assert [text[i:j].decode() for i, j in zip(start, end, strict=True)] == [" abc", "a", "c", "  ", "éa", "é", "b", " a", "$", "b", " "] and first.tolist() == [0, 11]
 
 
+def test_units_about_as_long_as_a_long_has_bits(spark):
+    from sentencepiece import SentencePieceProcessor
+
+    sp = SentencePieceProcessor(model_file=pieces.MODEL)
+    rows = [(n, ("thereforeandinternationalization" * 5)[:n]) for n in range(55, 130)]
+    got = pieces.encode(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(r["ids"] == sp.encode(dict(rows)[r["doc_id"]]) for r in got)
+
+
 def test_few_columns_go_to_python_for_each_edge(spark):
     # Spark adds up the sizes of all columns for each row that goes there
     d = spark.createDataFrame([(1, "the words of the text")], "doc_id long, text string")
